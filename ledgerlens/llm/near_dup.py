@@ -89,7 +89,7 @@ def _branch(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     rows = np.arange(len(nodes))[:, None]
     out = []
     for k in range(BRANCH):
-        place = _mix(nodes + _M1 * np.uint64(2 * k + 1)) % np.uint64(TOKENS // BRANCH) + np.uint64(k * (TOKENS // BRANCH))
+        place = _mix(nodes + np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(TOKENS // BRANCH) + np.uint64(k * (TOKENS // BRANCH))
         out.append(_mix(nodes * _M1 + (place << np.uint64(32)) + tokens[rows, place.astype(np.int64)].astype(np.uint64)))
     return np.concatenate(out, axis=1)
 
@@ -129,6 +129,7 @@ def _deeper(large: DataFrame, signatures: DataFrame) -> DataFrame:
 def _close(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in the same (contiguous) node whose sketches differ in at most ``most`` bits; with ``side``, only pairs across sides where a node has two."""
     left, right = [], []
+    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bitwise_count takes the absolute value of signed integers
     at, k = np.arange(len(node) - 1), 1
     while len(at):
         at = at[node[at] == node[at + k]]
