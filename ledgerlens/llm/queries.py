@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ideal_rank, leak, near_dup, site_lines, term_counts, topn
+from ledgerlens.llm import ideal_rank, leak, near_dup, reading, segments, site_lines, term_counts, topn
 from ledgerlens.runtime import read_table
 
 SCORES = ["bm25", "cos", "score"]
@@ -79,8 +79,31 @@ def p8_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.scrub(*_leak_args(spark, sf_dir))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.split_oversized(read_table(spark, sf_dir, "chunks"), "idx", "text", ["page_start"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece = 2").select("idx").distinct()
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_labels")
+    model = reading.fit(*reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", "rater"))
+    return reading.reading_levels(docs, model, "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = p10_levels(spark, sf_dir).where("n_chars >= 200 and level in (1, 5)")
+    return far.select("doc_id", F.when(F.col("level") == 1, "easy").otherwise("hard").alias("band")).distinct()
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.round(F.avg("difficulty"), 4).alias("difficulty"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rank, p3_found, p3_groups, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_found, p8_report, p8_scrub)}
+    return {f.__name__: f for f in (p1_found, p1_rank, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_found, p8_report, p8_scrub, p10_found, p10_levels, p10_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
