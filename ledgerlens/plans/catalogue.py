@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.operators import units
+from ledgerlens.runtime import read_table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.figures(read_table(spark, sf_dir, "chunks"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p5_found,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": units.figures_sql("duckdb")}
