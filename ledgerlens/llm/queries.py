@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ideal_rank, leak, near_dup, reading, segments, site_lines, term_counts, topn
+from ledgerlens.llm import ideal_rank, leak, mixing, near_dup, reading, segments, site_lines, term_counts, topn
 from ledgerlens.runtime import read_table
 
 SCORES = ["bm25", "cos", "score"]
@@ -87,6 +87,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece = 2").select("idx").distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source", "lang", "title")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.documents(_mixture(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf_dir))
+
+
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_labels")
     model = reading.fit(*reading.labelled_sample(docs, labels, "doc_id", "text", "reading_level", "rater"))
@@ -103,7 +115,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rank, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_found, p8_report, p8_scrub, p10_found, p10_levels, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_rank, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_found, p8_report, p8_scrub, p9_mixture, p9_shares, p10_found, p10_levels, p10_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
