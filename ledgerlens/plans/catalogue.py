@@ -1,22 +1,370 @@
-"""The core queries by name and the SQL that checks them."""
+"""The core queries by name, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.operators import units
+from ledgerlens.functions.text import terms
+from ledgerlens.functions.wordpiece import CLS, SEP, UNK, wordpiece
+from ledgerlens.operators import answers, cleaning, evaluate, index, search, tables, units
+from ledgerlens.plans import oracles
 from ledgerlens.runtime import read_table
 
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.figures(read_table(spark, sf_dir, "chunks"))
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query under its function's name."""
+    REGISTRY[f.__name__] = f
+    return f
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return index.tokenized(read_table(spark, d, "chunks"))
+
+
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    return search.channel_rows(read_table(spark, d, "retrieved"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.latest_pages(read_table(spark, d, "report_pages"))
+
+
+def _best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The ``k`` best joint results of every question with question and chunk; ranked on ids, texts joined last."""
+    ranked = search.top_k(search.fused(_channels(spark, d)), "qid", "fused", "idx", k).select("qid", "rank", "idx")
+    asked = read_table(spark, d, "questions").where("id is not null").select(F.col("id").alias("qid"), "question").distinct()
+    chunks = read_table(spark, d, "chunks").where("idx is not null").select("idx", "name", "title", "section", "subsection", "page_start", "page_end", "type", "text").distinct()
+    return ranked.join(asked, "qid").join(chunks, "idx")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.figures(read_table(spark, d, "chunks"))
+
+
+@query
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return index.term_counts(_tokens(spark, d))
+
+
+@query
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).select("idx", "dl")
+
+
+@query
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return index.corpus_stats(_tokens(spark, d))
+
+
+@query
+def term_idf(spark: SparkSession, d: str) -> DataFrame:
+    return index.idf(_tokens(spark, d))
+
+
+@query
+def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return index.posting_blocks(_tokens(spark, d))
+
+
+@query
+def delta_encode(spark: SparkSession, d: str) -> DataFrame:
+    return index.encode_gaps(_tokens(spark, d))
+
+
+@query
+def delta_decode(spark: SparkSession, d: str) -> DataFrame:
+    return index.decode_gaps(index.encode_gaps(_tokens(spark, d)))
+
+
+@query
+def posting_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return index.posting_offsets(index.encode_gaps(_tokens(spark, d)))
+
+
+@query
+def company_codes(spark: SparkSession, d: str) -> DataFrame:
+    return index.dictionary(read_table(spark, d, "chunks"), "name")
+
+
+@query
+def section_codes(spark: SparkSession, d: str) -> DataFrame:
+    return index.dictionary(read_table(spark, d, "chunks").where("idx is not null"), "section", "idx")
+
+
+@query
+def query_expand(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "questions").where("id is not null").select("id", search.expand_query(F.col("question")).alias("expanded")).distinct()
+
+
+@query
+def metric_query(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "questions").where("id is not null").select("id", search.metric_query(F.col("question")).alias("reduced")).distinct()
+
+
+@query
+def filter_detect(spark: SparkSession, d: str) -> DataFrame:
+    return search.detect_filters(read_table(spark, d, "questions"), read_table(spark, d, "companies"))
+
+
+@query
+def filter_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return search.with_fallback(filter_detect(spark, d), read_table(spark, d, "chunks"))
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    asked = search.stated_queries(read_table(spark, d, "questions"))
+    return search.query_terms(asked.withColumn("expanded", search.expand_query(F.col("question"))), "expanded")
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(search.bm25_scores(_tokens(spark, d), _wanted(spark, d)), "id", "bm25", "idx", 10)
+
+
+@query
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    scores = search.bm25_scores(_tokens(spark, d), _wanted(spark, d))
+    where = read_table(spark, d, "chunks").where("idx is not null").select("idx", "code", "period").distinct()
+    asked = search.stated_queries(read_table(spark, d, "questions"))
+    use = search.with_fallback(search.detect_filters(asked, read_table(spark, d, "companies")), read_table(spark, d, "chunks")).select("id", "use_code", "use_period")
+    fits = F.expr("(use_code is null or code = use_code) and (use_period is null or contains(period, use_period))")
+    return search.top_k(scores.join(where, "idx").join(use, "id").where(fits).select("id", "idx", "bm25"), "id", "bm25", "idx", 10)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vectors = read_table(spark, d, "embeddings")
+    return vectors, vectors.where("vec_id % 20 = 0")
+
+
+@query
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.cosine_top_k(*_vectors(spark, d), "vec_id", "embedding", 10)
+
+
+@query
+def int8_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return search.cosine_top_k(*_vectors(spark, d), "vec_id", "embedding", 10, int8=True)
+
+
+@query
+def vector_norm(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "embeddings").select("vec_id", F.round(search.vector_norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query
+def quantize(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(search.quantized(F.col("embedding")), lambda x: x.cast("string")), " ").alias("codes"))
+
+
+@query
+def minmax(spark: SparkSession, d: str) -> DataFrame:
+    return search.minmax(_channels(spark, d), "qid", "idx", ["bm25", "cos"]).select("qid", "idx", "bm25_norm", "cos_norm")
+
+
+@query
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(search.fused(_channels(spark, d)), "qid", "fused", "idx", 8).select("qid", "rank", "idx", "fused")
+
+
+@query
+def search_modes(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_modes(_channels(spark, d), 8)
+
+
+@query
+def channel_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return search.channel_ranks(_channels(spark, d))
+
+
+@query
+def topn_per_group(spark: SparkSession, d: str) -> DataFrame:
+    return search.grouped(_channels(spark, d), 3)
+
+
+@query
+def grouped_wide_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return search.grouped(_channels(spark, d), 3, wide=64)
+
+
+@query
+def panorama_rank(spark: SparkSession, d: str) -> DataFrame:
+    best = search.grouped(_channels(spark, d), 3).select("qid", "code", "place", "idx")
+    return tables.panorama(best, read_table(spark, d, "chunks"), "revenue")
+
+
+@query
+def entity_growth(spark: SparkSession, d: str) -> DataFrame:
+    orders, customers, nations = (read_table(spark, d, t) for t in ("orders", "customer", "nation"))
+    facts = orders.join(customers, orders.o_custkey == customers.c_custkey).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return tables.entity_growth(facts.select(F.col("n_name").alias("entity"), F.year("o_orderdate").alias("period"), "o_totalprice"), "entity", "period", "o_totalprice")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "chunks").where("idx is not null").select("idx", "text").distinct()
+
+
+@query
+def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.table_rows(_texts(spark, d), "idx", "text")
+    return rows.select("idx", "table_no", "row_no", F.array_join("cells", "¦").alias("cells"))
+
+
+@query
+def metric_extract(spark: SparkSession, d: str) -> DataFrame:
+    found = [tables.extract_metric(_texts(spark, d), "idx", "text", m).withColumn("metric", F.lit(m)) for m in ("revenue", "profit")]
+    both = found[0].unionByName(found[1])
+    return both.select("idx", "metric", "now", "prev", "pct", F.round(tables.yoy(F.col("now"), F.col("prev"), F.col("pct")), 6).alias("yoy"), tables.format_yi(F.col("now")).alias("shown"))
+
+
+@query
+def page_segments(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.segments(_pages(spark, d)).select("key", "page", "kind", "content")
+
+
+@query
+def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.boilerplate(_pages(spark, d))
+
+
+@query
+def page_number_filter(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.page_numbers(_pages(spark, d))
+
+
+@query
+def section_titles(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.sections(_pages(spark, d))
+
+
+@query
+def section_carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.carried_sections(_pages(spark, d))
+
+
+@query
+def table_captions(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.captions(_pages(spark, d))
+
+
+@query
+def report_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.chunk_reports(_pages(spark, d))
+
+
+@query
+def line_overlap_rank(spark: SparkSession, d: str) -> DataFrame:
+    return answers.key_lines(_best(spark, d, 3).select("qid", "question", "idx", "text"), 2)
+
+
+@query
+def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
+    return answers.extractive_answers(_best(spark, d, 3))
+
+
+@query
+def llm_context(spark: SparkSession, d: str) -> DataFrame:
+    return answers.prompt_context(_best(spark, d, 8))
+
+
+@query
+def highlight(spark: SparkSession, d: str) -> DataFrame:
+    marked = answers.highlighted(F.col("text"), answers.question_terms(F.col("question")))
+    return _best(spark, d, 1).select("qid", "idx", marked.alias("marked"))
+
+
+@query
+def table_html(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("idx", answers.table_html(F.col("text")).alias("html")).where("html is not null")
+
+
+@query
+def gold_containment(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.contained(read_table(spark, d, "eval_items"), read_table(spark, d, "documents"), "item_id", "expected", "doc_id", "text")
+
+
+def _recalls(spark: SparkSession, d: str) -> DataFrame:
+    gold = _channels(spark, d)
+    ranked = search.top_k(search.fused(gold), "qid", "fused", "idx", 50)
+    return evaluate.recall_at(ranked, 8)
+
+
+@query
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _recalls(spark, d)
+
+
+@query
+def recall_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.recall_summary(_recalls(spark, d), read_table(spark, d, "questions"))
+
+
+@query
+def verdict_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.verdict_summary(_recalls(spark, d), read_table(spark, d, "questions"))
+
+
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.coverage(_channels(spark, d), read_table(spark, d, "companies"))
+
+
+@query
+def missing_companies(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.missing_companies(_channels(spark, d), read_table(spark, d, "companies"))
+
+
+@query
+def metadata_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latest_reports(read_table(spark, d, "reports")).select("key", "code", "name", "period", "kind", "url", "bytes", "announcement_date")
+
+
+@query
+def report_pick(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.picked_reports(read_table(spark, d, "reports"))
+
+
+@query
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.manifest(read_table(spark, d, "reports"), read_table(spark, d, "chunks"), read_table(spark, d, "report_pages"))
+
+
+@query
+def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.manifest_totals(manifest_rows(spark, d))
+
+
+@query
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.chunk_stats(read_table(spark, d, "chunks"))
+
+
+@query
+def report_urls(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "reports").where("key is not null").select("key", evaluate.full_url(F.col("url")).alias("address"), evaluate.file_digest(F.col("file")).alias("digest")).distinct()
+
+
+@query
+def nfkc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "questions").where("id is not null").select("id", F.array_join(terms(F.col("question")), " ").alias("tokens")).distinct()
+
+
+@query
+def wordpiece_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Questions in WordPiece, with a vocabulary of the special tokens and single characters of a fixed alphabet."""
+    known = [CLS, SEP, UNK, *(chr(c) for c in range(0x4E00, 0xA000)), *"0123456789", *(f"##{x}" for x in "0123456789"), *"，。？：、"]
+    encode = wordpiece({t: i for i, t in enumerate(known)})
+    return read_table(spark, d, "questions").where("id is not null").select("id", F.array_join(encode(F.col("question")).cast("array<string>"), " ").alias("ids")).distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found,)}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": units.figures_sql("duckdb")}
+    return {"p5_found": units.figures_sql("duckdb")} | oracles.statements()
