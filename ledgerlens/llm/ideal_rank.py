@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerlens.llm.topn import clean_score, top_n
+from ledgerlens.plans.ranking import rank_all
 from ledgerlens.runtime import cut_lineage, salted_join
 
 #: Share of a group's values that is pulled in at either end before the scores are normalised.
@@ -63,26 +63,9 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     return both.select(group, item, *scores, F.round(near, 12).alias("closeness"))
 
 
-def rank_all(df: DataFrame, group: str, item: str, value: str) -> DataFrame:
-    """``df`` with ``rank``: the place of each item in its group by descending ``value``, then lower item.
-
-    The rows are sorted once over the whole cluster by range, so that a large group spans many tasks; a row's
-    rank is its place within its task plus the rows of its group in earlier tasks.
-    """
-    ordered = df.repartitionByRange(F.col(group), F.col(value).desc(), F.col(item)).sortWithinPartitions(F.col(group), F.col(value).desc(), F.col(item))
-    placed = cut_lineage(ordered.withColumn("__at", F.monotonically_increasing_id()))
-    task = F.shiftright(F.col("__at"), 33)
-    placed = placed.withColumn("__task", task)
-    parts = placed.groupBy(group, "__task").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("__before", before).select(group, "__task", "__first", "__before")
-    joined = placed.join(parts, [group, "__task"])
-    return joined.withColumn("rank", F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__at", "__task", "__first", "__before")
-
-
 def ideal_rank(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL) -> DataFrame:
     """One joint ranking per group: ``group``, ``item``, ``closeness``, ``rank``; ties go to the lower item. See closeness()."""
-    return rank_all(closeness(df, group, item, scores, weights, tail).select(group, item, "closeness"), group, item, "closeness")
+    return rank_all(closeness(df, group, item, scores, weights, tail).select(group, item, "closeness"), group, [F.col("closeness").desc(), F.col(item)])
 
 
 def leaders(df: DataFrame, group: str, item: str, scores: list[str], n: int = 3, tail: float = TAIL) -> DataFrame:
