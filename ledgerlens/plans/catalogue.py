@@ -164,7 +164,7 @@ def quantize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def minmax(spark: SparkSession, d: str) -> DataFrame:
-    return search.minmax(_channels(spark, d), "qid", "idx", ["bm25", "cos"]).select("qid", "idx", "bm25_norm", "cos_norm")
+    return search.minmax(_channels(spark, d), "qid", "idx", ["bm25", "cos"]).select("qid", "idx", *(F.round(c, 6).alias(c) for c in ("bm25_norm", "cos_norm")))
 
 
 @query

@@ -1,7 +1,193 @@
-"""The SQL that checks the core queries."""
+"""The SQL that checks the core queries: each operator's meaning stated again for DuckDB."""
 
 from __future__ import annotations
 
+from ledgerlens.functions.text import NARROW, WIDE
+from ledgerlens.functions.vocabulary import ALPHA, EXPANSIONS, HALF_YEAR, K1, METRIC_QUERIES, B
+
+_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+_RUNS = rf"[{_HAN}\x{{F900}}-\x{{FAFF}}]+|[a-z0-9][a-z0-9.%,]*|[\x{{C0}}-\x{{24F}}]+"
+_WIDE, _NARROW = WIDE.replace("'", "''"), NARROW.replace("'", "''")
+_EDGE = r"'^[\s　]+|[\s　]+$', '', 'g'"
+
+
+def _folded(text: str) -> str:
+    return f"lower(translate({text}, '{_WIDE}', '{_NARROW}'))"
+
+
+def _term_list(text: str) -> str:
+    one = f"CASE WHEN regexp_matches(r, '^[{_HAN}]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END"
+    return f"flatten(list_transform(regexp_extract_all({_folded(text)}, '{_RUNS}'), lambda r: {one}))"
+
+
+_TOKENS = f"""docs AS (SELECT DISTINCT idx, concat_ws(' ', nullif(section, ''), nullif(subsection, ''), nullif(text, '')) AS body FROM chunks WHERE idx IS NOT NULL),
+toks AS (SELECT idx, {_term_list("body")} AS terms FROM docs),
+words AS (SELECT idx, unnest(terms) AS term FROM toks),
+tf AS (SELECT term, idx, count(*) AS tf FROM words GROUP BY ALL),
+dl AS (SELECT idx, CAST(len(terms) AS BIGINT) AS dl FROM toks)"""
+_GAPS = f"""{_TOKENS},
+gaps AS (SELECT term, idx, idx - coalesce(lag(idx) OVER (PARTITION BY term, idx >> 12 ORDER BY idx), (idx >> 12) << 12) AS gap, least(tf, 64) AS tf FROM tf),
+coded AS (SELECT *, {" + ".join(f"CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 ELSE 5 END" for x in ("gap", "tf"))} AS bytes FROM gaps)"""
+_EXPANDED = "concat_ws(' ', question, " + ", ".join(f"CASE WHEN contains(question, '{p}') THEN '{w}' END" for p, w in EXPANSIONS) + ")"
+_HALF = " OR ".join(f"contains(question, '{w}')" for w in HALF_YEAR)
+_FILTERS = f"""asked AS (SELECT DISTINCT id, question FROM questions),
+filters AS (SELECT id, (SELECT min(c.code) FROM companies c WHERE contains(question, c.name) OR contains(question, c.code)) AS code,
+  CASE WHEN {_HALF} THEN 'H1' WHEN regexp_matches(question, '20[0-9][0-9]') THEN regexp_extract(question, '20[0-9][0-9]') || 'A' END AS period FROM asked),
+have AS (SELECT DISTINCT idx, code, period FROM chunks WHERE idx IS NOT NULL),
+counted AS (SELECT f.id, f.code, f.period, (SELECT count(*) FROM have h WHERE (f.code IS NULL OR h.code = f.code) AND (f.period IS NULL OR contains(h.period, f.period))) AS allowed FROM filters f),
+used AS (SELECT *, CASE WHEN allowed > 0 THEN code END AS use_code, CASE WHEN allowed > 0 THEN period END AS use_period FROM counted)"""
+_BM25 = f"""{_TOKENS},
+stated AS (SELECT DISTINCT id, {_EXPANDED} AS expanded FROM questions WHERE CAST(regexp_extract(id, '[0-9]+') AS BIGINT) % 20 = 0),
+wanted AS (SELECT DISTINCT id, unnest({_term_list("expanded")}) AS term FROM stated),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+scores AS (SELECT id, idx, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) AS bm25
+  FROM tf JOIN df USING (term) JOIN wanted USING (term) JOIN dl USING (idx), stats GROUP BY id, idx)"""
+_CHANNELS = """channels AS (SELECT qid, idx, max(CASE WHEN NOT isnan(bm25) THEN bm25 END) AS bm25, max(CASE WHEN NOT isnan(cos) THEN cos END) AS cos, bool_or(gold) AS gold, max(lpad(regexp_extract(code, '[0-9]+'), 6, '0')) AS code
+  FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL GROUP BY qid, idx)"""
+
+
+def _scaled(c: str) -> str:
+    lo, hi = f"min({c}) OVER (PARTITION BY qid)", f"max({c}) OVER (PARTITION BY qid)"
+    return f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN {hi} <= {lo} THEN 1.0 ELSE ({c} - {lo}) / ({hi} - {lo}) END END"
+
+
+_FUSED = f"""{_CHANNELS},
+scaled AS (SELECT *, {_scaled("bm25")} AS bm25_norm, {_scaled("cos")} AS cos_norm FROM channels),
+joint AS (SELECT *, round({ALPHA} * coalesce(cos_norm, 0) + {1 - ALPHA} * coalesce(bm25_norm, 0), 6) AS fused FROM scaled),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, idx) AS rank FROM joint)"""
+_GROUPED = f"""{_FUSED},
+own AS (SELECT qid, code, idx, fused, row_number() OVER (PARTITION BY qid, code ORDER BY fused DESC, idx) AS place FROM joint WHERE code IS NOT NULL)"""
+_BEST = f"""{_FUSED},
+asked AS (SELECT DISTINCT id AS qid, question FROM questions WHERE id IS NOT NULL),
+texts AS (SELECT DISTINCT idx, name, title, section, subsection, page_start, page_end, type, text FROM chunks WHERE idx IS NOT NULL),
+best AS (SELECT p.qid, p.rank, q.question, t.* FROM placed p JOIN asked q USING (qid) JOIN texts t ON t.idx = p.idx)"""
+_PAGES = """pages AS (SELECT key, page, coalesce(text, '') AS text FROM report_pages WHERE key IS NOT NULL AND page IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY key, page ORDER BY extracted_at DESC, coalesce(text, '') DESC) = 1)"""
+_LINES = f"""{_PAGES},
+cut AS (SELECT key, page, string_split(text, chr(10)) AS l FROM pages),
+lines AS (SELECT key, page, generate_subscripts(l, 1) - 1 AS seq, regexp_replace(unnest(l), {_EDGE}) AS line FROM cut)"""
+_SECTION = "^\\s*第\\s*[一二三四五六七八九十百]+\\s*节"
+_BLOCKS = r"""texts AS (SELECT DISTINCT idx, text FROM chunks WHERE idx IS NOT NULL),
+blocked AS (SELECT idx, regexp_matches(coalesce(text, ''), '单位\s*[:：]\s*(?:人民币)?\s*万元') AS wan, regexp_extract_all(coalesce(text, ''), '(?m)(?:^[ \t]*\|[^\n]*(?:\n|\z))+') AS b FROM texts),
+blocks AS (SELECT idx, wan, generate_subscripts(b, 1) - 1 AS table_no, unnest(b) AS block FROM blocked),
+kept AS (SELECT idx, wan, table_no, list_filter(string_split(block, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_full_match(trim(x), '[|\-:\s]*')) AS k FROM blocks),
+rows AS (SELECT idx, wan, table_no, generate_subscripts(k, 1) - 1 AS row_no, list_transform(string_split(regexp_replace(trim(unnest(k)), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM kept)"""
+
+
+def _metric(name: str, test: str) -> str:
+    return f"""SELECT idx, '{name}' AS metric, now, prev, pct, round(coalesce(pct, CASE WHEN prev <> 0 THEN (now / prev - 1) * 100 END), 6) AS yoy FROM (
+  SELECT idx, table_no, row_no, score, amounts[1] * unit AS now, amounts[2] * unit AS prev,
+    coalesce(list_filter(vals, lambda v: v.p AND abs(v.x) <= 10000)[1].x, list_filter(vals, lambda v: abs(v.x) <= 1000 AND abs(v.x) <> abs(amounts[1]))[1].x) AS pct
+  FROM (SELECT *, list_transform(list_filter(vals, lambda v: abs(v.x) > 1000), lambda v: v.x) AS amounts FROM valued WHERE len(cells) >= 3 AND ({test}))
+  WHERE len(amounts) BETWEEN 2 AND 3
+  QUALIFY row_number() OVER (PARTITION BY idx ORDER BY score DESC, abs(amounts[1] * unit) DESC, table_no, row_no) = 1)"""
+
+
+_METRIC = f"""{_BLOCKS},
+labelled AS (SELECT *, array_to_string(list_transform(cells, lambda c: replace(replace(c, ' ', ''), '　', '')), '') AS label FROM rows),
+headed AS (SELECT *, coalesce(lead(label) OVER (PARTITION BY idx, table_no ORDER BY row_no), '') AS following,
+  string_agg(CASE WHEN row_no < 3 THEN label ELSE '' END, '') OVER (PARTITION BY idx, table_no) AS head FROM labelled),
+valued AS (SELECT *, CASE WHEN wan THEN 10000.0 ELSE 1.0 END AS unit,
+  CASE WHEN contains(head, '主要会计数据') THEN 2 ELSE 0 END + CASE WHEN contains(head, '上年同期') THEN 1 ELSE 0 END AS score,
+  list_transform(list_filter(list_transform(cells, lambda c: replace(replace(c, ' ', ''), '　', '')), lambda c: regexp_full_match(c, '-?[\\d,]*\\d[\\d,]*(\\.\\d+)?%?')),
+    lambda c: {{'x': CAST(replace(replace(c, ',', ''), '%', '') AS DOUBLE), 'p': ends_with(c, '%')}}) AS vals
+  FROM headed WHERE NOT contains(head, '季度')),
+found AS ({_metric("revenue", "regexp_matches(label, '营业收入|营业总收入') AND NOT regexp_matches(label, '成本|构成|比重|占比|明细|分产品')")}
+  UNION ALL {_metric("profit", "contains(label, '归属于上市公司股东') AND NOT contains(label, '扣除非经常性损益') AND (contains(label, '净利润') OR (contains(following, '净利润') AND NOT contains(following, '扣除非经常性损益')))")})"""
+_RECALL = f"""{_FUSED},
+recalls AS (SELECT qid, min(CASE WHEN gold THEN rank END) AS first FROM placed WHERE rank <= 50 GROUP BY qid),
+judged AS (SELECT qid, first, coalesce(first <= 8, false) AS recalled, CASE WHEN first <= 8 THEN 'ok' WHEN first IS NOT NULL THEN 'part' ELSE 'bad' END AS verdict FROM recalls),
+everyone AS (SELECT a.qid, j.verdict, j.recalled FROM (SELECT DISTINCT id AS qid FROM questions WHERE id IS NOT NULL) a LEFT JOIN judged j USING (qid))"""
+_LATEST = """latest AS (SELECT * FROM reports WHERE key IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY fetched_at DESC NULLS LAST, code DESC NULLS LAST, name DESC NULLS LAST, exchange DESC NULLS LAST, period DESC NULLS LAST, kind DESC NULLS LAST, title DESC NULLS LAST, url DESC NULLS LAST, announcement_date DESC NULLS LAST, file DESC NULLS LAST, bytes DESC NULLS LAST) = 1)"""
+_MANIFEST = f"""{_LATEST},
+own AS (SELECT concat_ws('_', code, period) AS key, count(*) AS chunks, count(*) FILTER (type = 'table') AS tables, sum(coalesce(length(text), 0)) AS chars
+  FROM (SELECT DISTINCT idx, code, period, type, text FROM chunks WHERE idx IS NOT NULL) GROUP BY 1),
+counted AS (SELECT key, count(DISTINCT page) AS pages FROM report_pages WHERE key IS NOT NULL AND page IS NOT NULL GROUP BY key),
+manifest AS (SELECT l.key, l.name, CASE l.exchange WHEN 'szse' THEN '深圳证券交易所' WHEN 'sse' THEN '上海证券交易所' WHEN 'bse' THEN '北京证券交易所' ELSE l.exchange END AS exchange,
+  CASE l.kind WHEN 'annual' THEN '年度报告' WHEN 'semi' THEN '半年度报告' ELSE l.kind END AS kind, CAST(coalesce(o.chunks, 0) AS BIGINT) AS chunks, CAST(coalesce(o.tables, 0) AS BIGINT) AS tables, CAST(coalesce(o.chars, 0) AS BIGINT) AS chars, CAST(coalesce(c.pages, 0) AS BIGINT) AS pages
+  FROM latest l LEFT JOIN own o USING (key) LEFT JOIN counted c USING (key))"""
+_QUESTION_TERMS = f"list_filter(list_distinct({_term_list('question')}), lambda t: length(t) > 1 OR NOT regexp_matches(t, '[a-z0-9]'))"
+_KEY_LINES = f"""{_BEST},
+cut AS (SELECT qid, question, idx, rank, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, {_EDGE})), lambda x: x <> '' AND NOT starts_with(x, '| ---') AND NOT regexp_matches(x, '^\\|?\\s*-{{2,}}')) AS l FROM best WHERE rank <= 3),
+each AS (SELECT qid, question, idx, generate_subscripts(l, 1) AS seq, unnest(l) AS line FROM cut),
+hit AS (SELECT *, len(list_intersect({_QUESTION_TERMS}, list_distinct({_term_list("line")}))) - CASE WHEN NOT regexp_matches(question, '扣非|扣除非经常性损益') AND contains(regexp_replace(line, '[\\s　]+', '', 'g'), '扣除非经常性损益') THEN 3 ELSE 0 END AS hits FROM each)"""
+
+
+def _best_vectors(stored: str, divide: str) -> str:
+    dot = f"round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * {stored})){divide}, 6)"
+    return f"""SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY cos DESC, item) AS rank, item, cos FROM (
+  SELECT q.vec_id AS query, v.vec_id AS item, {dot} AS cos FROM (SELECT DISTINCT * FROM embeddings) q, (SELECT DISTINCT * FROM embeddings) v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
+
+
+def _byte(x: str) -> str:
+    return f"greatest(-127, least(127, round_even(CAST({x} AS DOUBLE) * 127, 0)))"
+
 
 def statements() -> dict[str, str]:
-    return {}
+    """DuckDB statements by query name."""
+    metric_rules = " ".join(f"WHEN {' OR '.join(f"contains(q, '{w}')" for w in words)} THEN '{wording}'" for words, wording in METRIC_QUERIES)
+    bars = "list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x), '|'))"
+    safe = "replace(replace(replace(trim(c), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    row = lambda x, tag: f"'<tr>' || array_to_string(list_transform(string_split(regexp_replace(trim({x}), '^\\||\\|$', '', 'g'), '|'), lambda c: '<{tag}>' || {safe} || '</{tag}>'), '') || '</tr>'"
+    found = {
+        "token_counts": f"WITH {_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term",
+        "doc_lengths": f"WITH {_TOKENS} SELECT idx, dl FROM dl",
+        "corpus_stats": f"WITH {_TOKENS} SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS terms, round(avg(dl), 6) AS avgdl FROM dl",
+        "term_idf": f"WITH {_TOKENS}, c AS (SELECT count(*) AS n FROM dl) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), c",
+        "posting_blocks": f"WITH {_TOKENS} SELECT term, idx >> 12 AS block, count(*) AS n, string_agg(idx || ':' || tf, ' ' ORDER BY idx) AS postings FROM tf WHERE term IN (SELECT term FROM tf GROUP BY term HAVING count(*) >= 2) GROUP BY 1, 2",
+        "delta_encode": f"WITH {_GAPS} SELECT term, idx, gap, tf, CAST(bytes AS BIGINT) AS bytes FROM coded",
+        "delta_decode": f"WITH {_TOKENS} SELECT term, idx, idx AS decoded FROM tf",
+        "posting_offsets": f"WITH {_GAPS}, s AS (SELECT term, count(*) AS df, CAST(sum(bytes) AS BIGINT) AS bytes FROM coded GROUP BY term) SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s",
+        "company_codes": "SELECT name AS value, row_number() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT name FROM chunks WHERE name IS NOT NULL)",
+        "section_codes": "SELECT section AS value, row_number() OVER (ORDER BY first, section) - 1 AS code FROM (SELECT section, min(idx) AS first FROM chunks WHERE section IS NOT NULL AND idx IS NOT NULL GROUP BY section)",
+        "query_expand": f"SELECT DISTINCT id, {_EXPANDED} AS expanded FROM questions WHERE id IS NOT NULL",
+        "metric_query": f"SELECT DISTINCT id, CASE {metric_rules} ELSE q END AS reduced FROM (SELECT id, regexp_replace(question, '^\\s*全景\\s*[:：]?\\s*', '') AS q FROM questions WHERE id IS NOT NULL)",
+        "filter_detect": f"WITH {_FILTERS} SELECT id, code, period FROM filters",
+        "filter_fallback": f"WITH {_FILTERS} SELECT * FROM used",
+        "bm25_topk": f"WITH {_BM25} SELECT id, idx, bm25, row_number() OVER (PARTITION BY id ORDER BY bm25 DESC, idx) AS rank FROM scores QUALIFY rank <= 10",
+        "bm25_filtered": f"WITH {_BM25}, {_FILTERS} SELECT s.id, s.idx, s.bm25, row_number() OVER (PARTITION BY s.id ORDER BY bm25 DESC, s.idx) AS rank FROM scores s JOIN have h USING (idx) JOIN used u ON u.id = s.id WHERE (use_code IS NULL OR h.code = use_code) AND (use_period IS NULL OR contains(h.period, use_period)) QUALIFY rank <= 10",
+        "cosine_topk": _best_vectors("CAST(v.embedding[i] AS DOUBLE)", ""),
+        "int8_cosine": _best_vectors(_byte("v.embedding[i]"), " / 127"),
+        "vector_norm": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings",
+        "quantize": f"SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(CAST({_byte('x')} AS INTEGER) AS VARCHAR)), ' ') AS codes FROM embeddings",
+        "minmax": f"WITH {_FUSED} SELECT qid, idx, round(bm25_norm, 6) AS bm25_norm, round(cos_norm, 6) AS cos_norm FROM scaled",
+        "hybrid_search": f"WITH {_FUSED} SELECT qid, rank, idx, fused FROM placed WHERE rank <= 8",
+        "search_modes": f"WITH {_FUSED}, long AS (SELECT qid, idx, 'bm25' AS mode, round(bm25_norm, 6) AS score FROM joint UNION ALL SELECT qid, idx, 'dense', round(cos_norm, 6) FROM joint UNION ALL SELECT qid, idx, 'hybrid', fused FROM joint) SELECT mode, qid, row_number() OVER (PARTITION BY mode, qid ORDER BY score DESC, idx) AS rank, idx, score FROM long WHERE score IS NOT NULL QUALIFY rank <= 8",
+        "channel_ranks": f"WITH {_CHANNELS}, a AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, idx) AS bm25_place FROM channels WHERE bm25 IS NOT NULL), b AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, idx) AS cos_place FROM channels WHERE cos IS NOT NULL) SELECT qid, idx, bm25_place, cos_place FROM a FULL JOIN b USING (qid, idx)",
+        "topn_per_group": f"WITH {_GROUPED} SELECT qid, code, place, idx, fused, 'exact' AS source FROM own WHERE place <= 3",
+        "grouped_wide_fallback": f"WITH {_GROUPED}, head AS (SELECT qid, code, idx, fused, row_number() OVER (PARTITION BY qid, code ORDER BY fused DESC, idx) AS place FROM (SELECT qid, code, idx, fused FROM joint WHERE code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, idx) <= 64)) SELECT qid, code, place, idx, fused, 'wide' AS source FROM head WHERE place <= 3 UNION ALL SELECT qid, code, place, idx, fused, 'fallback' FROM own WHERE place <= 3 AND (qid, code) NOT IN (SELECT qid, code FROM head)",
+        "panorama_rank": f"WITH {_GROUPED}, {_METRIC}, pick AS (SELECT o.qid, o.code, o.idx, f.now, f.prev, f.yoy FROM own o LEFT JOIN (SELECT * FROM found WHERE metric = 'revenue') f USING (idx) WHERE o.place <= 3 QUALIFY row_number() OVER (PARTITION BY o.qid, o.code ORDER BY f.now IS NULL, o.place) = 1) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY now DESC NULLS LAST, code) AS place, code, idx, now, prev, yoy FROM pick",
+        "entity_growth": "WITH s AS (SELECT n_name AS entity, CAST(year(o_orderdate) AS INTEGER) AS period, round(sum(o_totalprice), 2) AS now FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), b AS (SELECT s.*, p.now AS prev, round(CASE WHEN p.now <> 0 THEN (s.now / p.now - 1) * 100 END, 6) AS yoy FROM s LEFT JOIN s p ON p.entity = s.entity AND p.period = s.period - 1) SELECT *, row_number() OVER (PARTITION BY period ORDER BY yoy DESC NULLS LAST, now DESC NULLS LAST, entity) AS place FROM b",
+        "markdown_tables": f"WITH {_BLOCKS} SELECT idx, table_no, row_no, array_to_string(cells, '¦') AS cells FROM rows",
+        "metric_extract": f"WITH {_METRIC} SELECT *, coalesce(format('{{:,.2f}} 亿元', now / 1e8), '—') AS shown FROM found",
+        "boilerplate_filter": f"WITH {_LINES}, n AS (SELECT key, count(DISTINCT page) AS pages FROM pages GROUP BY key) SELECT key, line, on_pages FROM (SELECT key, line, count(DISTINCT page) AS on_pages FROM lines WHERE line <> '' AND length(line) < 40 GROUP BY key, line) JOIN n USING (key) WHERE on_pages > pages * 0.3",
+        "page_number_filter": f"WITH {_LINES} SELECT key, page, seq, line FROM lines WHERE regexp_full_match(line, '\\d{{1,4}}(\\s*/\\s*\\d{{1,4}})?') AND (abs(CAST(regexp_extract(line, '^(\\d{{1,4}})', 1) AS INTEGER) - page) <= 1 OR abs(TRY_CAST(regexp_extract(line, '/\\s*(\\d{{1,4}})$', 1) AS INTEGER) - page) <= 1)",
+        "section_carry_forward": f"WITH {_LINES} SELECT key, page, seq, coalesce(last_value(CASE WHEN regexp_matches(line, '{_SECTION}') AND length(line) <= 60 THEN line END IGNORE NULLS) OVER (PARTITION BY key ORDER BY page, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM lines WHERE line <> ''",
+        "section_titles": f"WITH {_LINES}, f AS (SELECT *, coalesce({', '.join(f'nullif(lead(line, {k}) OVER (PARTITION BY key ORDER BY page, seq), {chr(39) * 2})' for k in (1, 2, 3))}) AS following FROM lines) SELECT key, page, seq, CASE WHEN length(trim(regexp_replace(line, '{_SECTION}', ''))) < 2 AND length(following) < 40 AND NOT regexp_matches(following, '{_SECTION}') THEN line || ' ' || following ELSE line END AS title FROM f WHERE regexp_matches(line, '{_SECTION}') AND length(line) < 60",
+        "page_segments": f"WITH {_PAGES}, p AS (SELECT key, page, unnest(string_split(regexp_replace(text, '\\[表格开始\\]\\n((?s:.*?))\\n\\[表格结束\\]', chr(1) || chr(2) || '\\1' || chr(1), 'g'), chr(1))) AS part FROM pages) SELECT key, page, CASE WHEN starts_with(part, chr(2)) THEN 'table' ELSE 'text' END AS kind, CASE WHEN starts_with(part, chr(2)) THEN regexp_replace(substr(part, 2), {_EDGE}) ELSE part END AS content FROM p WHERE part <> ''",
+        "line_overlap_rank": f"WITH {_KEY_LINES} SELECT qid, idx, row_number() OVER (PARTITION BY qid, idx ORDER BY hits * 1000 + least(length(line), 300) DESC, seq) AS place, line, hits FROM hit WHERE hits > 0 QUALIFY place <= 2",
+        "llm_context": f"WITH {_BEST} SELECT qid, string_agg('[' || rank || '] ' || concat_ws('｜', coalesce(name, ''), coalesce(title, ''), concat_ws(' / ', nullif(section, ''), nullif(subsection, '')), '第 ' || coalesce(page_start || CASE WHEN page_end > page_start THEN '-' || page_end ELSE '' END, '') || ' 页') || chr(10) || substr(coalesce(text, ''), 1, 1800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM best WHERE rank <= 8 GROUP BY qid",
+        "gold_containment": "WITH p AS (SELECT DISTINCT item_id, regexp_replace(expected, '[\\s　]+', '', 'g') AS p FROM eval_items), t AS (SELECT DISTINCT doc_id, regexp_replace(text, '[\\s　]+', '', 'g') AS t FROM documents) SELECT DISTINCT item_id, doc_id FROM p, t WHERE p <> '' AND contains(t, p)",
+        "recall_at_k": f"WITH {_RECALL} SELECT * FROM judged",
+        "recall_summary": f"WITH {_RECALL} SELECT count(*) AS questions, count(verdict) AS answered, CAST(coalesce(sum(CAST(recalled AS INTEGER)), 0) AS BIGINT) AS recalled, round(coalesce(sum(CAST(recalled AS INTEGER)), 0) / count(*), 3) AS rate FROM everyone",
+        "verdict_summary": f"WITH {_RECALL} SELECT coalesce(verdict, 'bad') AS verdict, count(*) AS n FROM everyone GROUP BY 1",
+        "coverage": f"WITH {_CHANNELS}, t AS (SELECT count(DISTINCT code) AS total FROM companies) SELECT qid, count(DISTINCT code) AS hit, any_value(total) AS total, round(count(DISTINCT code) / any_value(total), 3) AS coverage FROM channels, t WHERE code IS NOT NULL GROUP BY qid",
+        "missing_companies": f"WITH {_CHANNELS} SELECT q.qid, c.code FROM (SELECT DISTINCT qid FROM channels) q, (SELECT DISTINCT code FROM companies WHERE code IS NOT NULL) c WHERE NOT EXISTS (SELECT 1 FROM channels x WHERE x.qid = q.qid AND x.code = c.code)",
+        "metadata_upsert": f"WITH {_LATEST} SELECT key, code, name, period, kind, url, bytes, announcement_date FROM latest",
+        "report_pick": "WITH r AS (SELECT code, title, announcement_date, regexp_extract(title, '(20\\d{2})\\s*年(?:年度|半年度)?报告', 1) AS year, CASE WHEN contains(title, '半年度报告') THEN 'semi' ELSE 'annual' END AS kind FROM reports WHERE code IS NOT NULL AND NOT regexp_matches(title, '摘要|英文|意见|说明|专项|补充|更正|公告|H股|港股|海外')), n AS (SELECT code, kind, year || CASE kind WHEN 'semi' THEN 'H1' ELSE 'A' END AS tag, announcement_date, title FROM r WHERE year <> '' QUALIFY row_number() OVER (PARTITION BY code, kind, tag ORDER BY announcement_date DESC, title DESC) = 1) SELECT code, kind, tag, row_number() OVER (PARTITION BY code, kind ORDER BY announcement_date DESC NULLS LAST, tag DESC) AS place, title FROM n QUALIFY place <= CASE kind WHEN 'semi' THEN 1 ELSE 2 END",
+        "manifest_rows": f"WITH {_MANIFEST} SELECT * FROM manifest",
+        "manifest_totals": f"WITH {_MANIFEST} SELECT count(DISTINCT name) AS companies, count(*) AS reports, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(pages) AS BIGINT) AS pages FROM manifest",
+        "chunk_stats": "SELECT count(*) AS chunks, round(sum(n) / greatest(count(*), 1), 1) AS mean_chars, count(*) FILTER (type = 'table') AS tables FROM (SELECT DISTINCT idx, type, coalesce(length(text), 0) AS n FROM chunks WHERE idx IS NOT NULL)",
+        "report_urls": "SELECT DISTINCT key, 'http://static.example/' || ltrim(regexp_replace(regexp_replace(url, '^[A-Za-z]*:?//', ''), '^[^/]*\\.[^/]*/', ''), '/') AS address, substr(sha256(file), 1, 16) AS digest FROM reports WHERE key IS NOT NULL",
+        "nfkc_tokens": f"SELECT DISTINCT id, array_to_string({_term_list('question')}, ' ') AS tokens FROM questions WHERE id IS NOT NULL",
+        "table_html": f"SELECT DISTINCT idx, '<table class=\"md-table\"><thead>' || {row("b[1]", "th")} || '</thead><tbody>' || array_to_string(list_transform(b[3:], lambda x: {row("x", "td")}), '') || '</tbody></table>' AS html FROM (SELECT idx, {bars} AS b FROM chunks WHERE idx IS NOT NULL AND text IS NOT NULL) WHERE len(b) >= 2",
+    }
+    # Spark's row numbers, sizes and positions are 32-bit integers.
+    narrow = {c: names.split() for c, names in (("rank", "bm25_topk bm25_filtered cosine_topk int8_cosine hybrid_search search_modes"), ("place", "topn_per_group grouped_wide_fallback panorama_rank entity_growth line_overlap_rank report_pick"), ("seq", "page_number_filter section_carry_forward section_titles"), ("hits", "line_overlap_rank"), ("table_no", "markdown_tables"), ("row_no", "markdown_tables"), ("first", "recall_at_k"))}
+    for name, sql in found.items():
+        columns = [c for c, names in narrow.items() if name in names]
+        if columns:
+            found[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in columns)}) FROM ({sql})"
+    return found
