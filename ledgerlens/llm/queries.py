@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import NARROW, WIDE
 from ledgerlens.llm import ideal_rank, leak, mixing, near_dup, reading, segments, site_lines, term_counts, topn
 from ledgerlens.runtime import read_table
 
@@ -118,5 +119,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_rank, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p6_found, p6_clean, p7_found, p7_counts, p8_found, p8_report, p8_scrub, p9_mixture, p9_shares, p10_found, p10_levels, p10_profile)}
 
 
+_CLEAN = "CASE WHEN NOT isnan({0}) THEN {0} END"
+_WIDE, _NARROW = WIDE.replace("'", "''"), NARROW.replace("'", "''")
+
+
+def _folded(text: str) -> str:
+    return f"lower(translate({text}, '{_WIDE}', '{_NARROW}'))"
+
+
+def _leaders_sql() -> str:
+    clean = ", ".join(f"max({_CLEAN.format(s)}) AS {s}" for s in SCORES)
+    places = ", ".join(f"rank() OVER (PARTITION BY qid ORDER BY {s} DESC NULLS LAST) AS {s}_place" for s in SCORES)
+    test = " AND ".join(f"{s} IS NOT NULL AND {s}_place <= 3" for s in SCORES)
+    return f"SELECT qid, idx FROM (SELECT *, {places} FROM (SELECT qid, idx, {clean} FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL GROUP BY qid, idx)) WHERE {test}"
+
+
+def _terms_sql(tail: str) -> str:
+    text = _folded("coalesce(text, '')")
+    return f"""WITH c AS (SELECT DISTINCT idx, {text} AS t, regexp_replace({_folded("section")}, '[\\s　]+', '', 'g') AS s FROM chunks WHERE idx IS NOT NULL),
+pairs AS (SELECT idx, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS term FROM c),
+words AS (SELECT idx, unnest(regexp_extract_all(t, '[a-z]{{2,}}')) AS term FROM c),
+postings AS (SELECT 'text' AS field, term, idx FROM pairs WHERE regexp_full_match(term, '[\\x{{4E00}}-\\x{{9FFF}}]{{2}}') UNION ALL SELECT 'text', term, idx FROM words UNION ALL SELECT 'section', s, idx FROM c WHERE s <> ''),
+counts AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT idx) AS records FROM postings GROUP BY field, term),
+n AS (SELECT count(DISTINCT idx) AS n FROM chunks),
+marked AS (SELECT field, term, occurrences, records, CASE WHEN records = 1 THEN 'rare' WHEN records > 0.4 * n THEN 'common' END AS mark FROM counts, n)
+{tail}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB statements by query name; queries whose method SQL cannot express are tested against plain versions instead."""
+    line = "regexp_replace(regexp_replace(regexp_replace(l, '^[\\s　]+|[\\s　]+$', '', 'g'), '[\\s　]+', ' ', 'g'), '[0-9０-９]+', '#', 'g')"
+
+    def plain(text: str) -> str:
+        return f"regexp_replace({_folded(text)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+    grams = "unnest(list_transform(range(1, greatest(length(t) - 38, 1)), lambda i: substr(t, i, 40)))"
+    return {
+        "p1_found": _leaders_sql(),
+        "p2_found": "SELECT DISTINCT idx FROM chunks WHERE idx IS NOT NULL AND length(text) > 1100",
+        "p3_found": """WITH t AS (SELECT DISTINCT idx, regexp_replace(text, '[\\s　]+', '', 'g') AS t FROM chunks WHERE type = 'text' AND idx IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT idx, unnest(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) AS g FROM t WHERE t <> ''),
+n AS (SELECT idx, count(*) AS n FROM g GROUP BY idx),
+s AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.idx < b.idx GROUP BY 1, 2)
+SELECT idx_a, idx_b FROM s JOIN n a ON a.idx = idx_a JOIN n b ON b.idx = idx_b WHERE s >= 0.7 * (a.n + b.n - s)""",
+        "p4_found": f"SELECT qid, code, idx FROM (SELECT qid, lpad(regexp_extract(code, '[0-9]+'), 6, '0') AS code, idx, max({_CLEAN.format('score')}) AS score FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL AND regexp_matches(code, '[0-9]') GROUP BY ALL) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid, code ORDER BY score DESC, idx) <= 3",
+        "p6_found": f"WITH p AS (SELECT key, page, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM report_pages), c AS (SELECT key, {line} AS line, count(DISTINCT page) AS docs FROM p GROUP BY 1, 2), n AS (SELECT key, count(DISTINCT page) AS pages FROM report_pages GROUP BY key HAVING count(DISTINCT page) >= 5) SELECT key, line FROM c JOIN n USING (key) WHERE line <> '' AND NOT starts_with(line, '|') AND NOT starts_with(line, '[') AND docs > 0.3 * pages",
+        "p7_found": _terms_sql("SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"),
+        "p7_counts": _terms_sql("SELECT * FROM marked"),
+        "p8_found": f"WITH d AS (SELECT DISTINCT doc_id, {plain('text')} AS t FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items), x AS (SELECT doc_id, {grams} AS g FROM d WHERE length(t) >= 40), y AS (SELECT DISTINCT item_id, {grams} AS g FROM e WHERE length(t) >= 40) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)",
+    }

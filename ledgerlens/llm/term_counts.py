@@ -96,7 +96,8 @@ def _containers(field: str, terms: np.ndarray, codes: np.ndarray, records: np.nd
         yield field, terms[codes[a]], int(blocks[a]), pack(places[a:b], counts[a:b])
 
 
-def _rows(ids: list[int], texts: list[str], sections: list[str]) -> pd.DataFrame:
+def _rows(held: dict[int, tuple[str, str]]) -> pd.DataFrame:
+    ids, texts, sections = list(held), [t for t, _ in held.values()], [v for _, v in held.values()]
     records = np.array(ids, dtype=np.int64)
     pairs, text_of = _pair_postings(texts)
     known, codes = np.unique(pairs, return_inverse=True)
@@ -125,22 +126,21 @@ def term_bitmaps(df: DataFrame, record: str, text: str, value: str | None = None
     rows = df.select(*columns).where(F.col("record").isNotNull())
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        texts: list[str] = []
-        values: list[str] = []
-        held = 0
+        held: dict[int, tuple[str, str]] = {}
+        chars = 0
         for batch in batches:
             for i, t, v in zip(batch["record"], batch["text"], batch["value"], strict=True):
                 t = unicodedata.normalize("NFKC", t).lower() if t else ""
-                ids.append(i)
-                texts.append(t)
-                values.append(_SPACE.sub("", unicodedata.normalize("NFKC", v).lower()) if v else "")
-                held += len(t)
-                if held > HELD_CHARS:
-                    yield _rows(ids, texts, values)
-                    ids, texts, values, held = [], [], [], 0
-        if ids:
-            yield _rows(ids, texts, values)
+                v = _SPACE.sub("", unicodedata.normalize("NFKC", v).lower()) if v else ""
+                if i in held and held[i] == (t, v):
+                    continue  # a repeated row
+                if i in held or chars > HELD_CHARS:
+                    yield _rows(held)
+                    held, chars = {}, 0
+                held[i] = (t, v)
+                chars += len(t)
+        if held:
+            yield _rows(held)
 
     return rows.mapInPandas(build, "field string, term string, block long, bitmap binary")
 
