@@ -51,7 +51,16 @@ def terms(text: Column, normalise: bool = True) -> Column:
     other run is one term. With ``normalise`` the text goes through NFKC in Python first; without it only
     full-width forms are folded, which keeps the expression inside the JVM.
     """
-    folded = F.lower(nfkc(text) if normalise else fold_width(text))
+    return folded_terms(folded(text, normalise))
+
+
+def folded(text: Column, normalise: bool = True) -> Column:
+    """Lower-cased text after NFKC, or after folding of full-width forms only."""
+    return F.lower(nfkc(text) if normalise else fold_width(text))
+
+
+def folded_terms(text: Column) -> Column:
+    """The terms of text that is folded already; stays inside the JVM."""
 
     def expand(run: Column) -> Column:
         n = F.char_length(run)
@@ -59,4 +68,4 @@ def terms(text: Column, normalise: bool = True) -> Column:
         twos = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(ones, twos)).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs(folded), expand))
+    return F.flatten(F.transform(runs(text), expand))

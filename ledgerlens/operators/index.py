@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlens.functions.text import terms
+from ledgerlens.functions.text import folded, folded_terms
 from ledgerlens.functions.vocabulary import MIN_DF
 from ledgerlens.plans.ranking import number_all, running_total
 
@@ -16,23 +16,34 @@ BLOCK_BITS = 12
 TF_CAP = 64
 
 
-def index_text(df: DataFrame) -> DataFrame:
-    """``idx`` and the indexed text of each different chunk: its non-empty section, subsection and text, joined by spaces.
+def index_text(df: DataFrame, normalise: bool = True) -> DataFrame:
+    """``idx`` and the indexed ``body`` of each different chunk: its non-empty section, subsection and text, joined by spaces and folded.
 
-    Repeated rows count once; rows without idx are left out; a chunk with nothing to index has empty text.
+    Repeated rows count once; rows without idx are left out; a chunk with nothing to index has empty text. Folding
+    comes first, then the rows are partitioned by idx, which serves both the removal of repeats and all later counts
+    per (idx, term): those need no further shuffle.
     """
     parts = [F.nullif(F.col(c), F.lit("")) for c in ("section", "subsection", "text")]
-    return df.where("idx is not null").select("idx", F.concat_ws(" ", *parts).alias("body")).distinct()
+    return df.where("idx is not null").select("idx", folded(F.concat_ws(" ", *parts), normalise).alias("body")).repartition("idx").distinct()
 
 
 def tokenized(df: DataFrame, normalise: bool = True) -> DataFrame:
     """``idx``, ``terms`` in order and their number ``dl``."""
-    return index_text(df).select("idx", terms(F.col("body"), normalise).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    return index_text(df, normalise).select("idx", folded_terms(F.col("body")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+
+
+def exploded(tokens: DataFrame, *keep: str) -> DataFrame:
+    """One row per term occurrence: ``keep`` and ``term``.
+
+    The outer form is used since for the plain one the optimizer adds a filter on the array's size, which it pushes
+    below the shuffle and so tokenizes every text twice.
+    """
+    return tokens.select(*keep, F.explode_outer("terms").alias("term")).where("term is not null")
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
-    """``term``, ``idx``, ``tf``; the counts combine on the map side."""
-    return tokens.select("idx", F.explode("terms").alias("term")).groupBy("term", "idx").agg(F.count("*").alias("tf"))
+    """``term``, ``idx``, ``tf``; counted within the tasks that hold the documents."""
+    return exploded(tokens, "idx").groupBy("idx", "term").agg(F.count("*").alias("tf")).select("term", "idx", "tf")
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def idf_of(n: Column, df: Column) -> Column:
 def idf(tokens: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """``term``, ``df``, ``idf`` of terms in at least ``min_df`` documents."""
     n = tokens.count()
-    counts = tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = exploded(tokens.select(F.array_distinct("terms").alias("terms"))).groupBy("term").agg(F.count("*").alias("df"))
     return counts.where(F.col("df") >= min_df).withColumn("idf", F.round(idf_of(F.lit(n), F.col("df")), 6))
 
 
