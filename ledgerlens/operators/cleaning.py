@@ -82,11 +82,15 @@ def carried_sections(pages: DataFrame) -> DataFrame:
 
 
 def captions(pages: DataFrame) -> DataFrame:
-    """``key``, ``page``, ``seq``, ``caption`` of each table: the latest of the four lines before it that looks like a title."""
+    """``key``, ``page``, ``seq``, ``caption`` of each table: the latest of the four lines before it that looks like a title.
+
+    Boilerplate and page numbers are no lines here; a table without such a line has an empty caption.
+    """
     w = W.partitionBy("key").orderBy("page", "seq", "at")
     stream = segments(pages).withColumn("piece", F.when(F.col("kind") == "table", F.array("content")).otherwise(F.split("content", "\n")))
     flat = stream.select("key", "page", "seq", "kind", F.posexplode("piece").alias("at", "raw")).withColumn("line", F.when(F.col("kind") == "table", F.lit("")).otherwise(F.regexp_replace("raw", _STRIP, "")))
-    solid = flat.where((F.col("kind") == "table") | (F.col("line") != ""))
+    solid = flat.where((F.col("kind") == "table") | ((F.col("line") != "") & ~is_page_number(F.col("line"), F.col("page"))))
+    solid = solid.join(boilerplate(pages).select("key", "line"), ["key", "line"], "left_anti")
     fits = F.when((F.col("kind") == "text") & F.char_length("line").between(3, 40) & ~F.col("line").rlike("[。，；]$"), F.col("line"))
     # The last four lines of text, tables not counted among them.
     text_no = F.count(F.when(F.col("kind") == "text", 1)).over(w.rowsBetween(W.unboundedPreceding, 0))
