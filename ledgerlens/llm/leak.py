@@ -93,9 +93,29 @@ class LeakFinder:
                 batch = []
             if i is not None:
                 batch.append((i, t))
+        # For each state the one on its chain of suffixes that holds the suffix of ``least`` characters: its items are all that share that much here.
+        self._tops = {automaton: self._top_states(automaton) for _, automaton, _ in self.parts}
+
+    def _top_states(self, automaton: SuffixAutomaton) -> list[int]:
+        top = list(range(len(automaton.next)))
+        for at in sorted(range(1, len(top)), key=automaton.length.__getitem__):
+            if automaton.length[automaton.link[at]] >= self.least:
+                top[at] = top[automaton.link[at]]
+        return top
+
+    def _ending(self, automaton: SuffixAutomaton, ids: list[int], at: int, matched: int, end: int) -> Iterator[tuple[int, int, list[int]]]:
+        """The matches that end at ``end``, from the longest down, each with the items that no longer one has."""
+        seen = 0
+        while matched >= self.least:
+            new = automaton.items[at] & ~seen
+            if new:
+                yield end - matched, end, [ids[k] for k in range(new.bit_length()) if new >> k & 1]
+            seen |= new
+            at = automaton.link[at]
+            matched = automaton.length[at]
 
     def spans(self, text: str) -> Iterator[tuple[int, int, list[int]]]:
-        """(start, end, item ids) in the normalised ``text``, for each maximal match of at least ``least`` characters.
+        """(start, end, item ids) in the normalised ``text`` of matches of at least ``least`` characters, the longest of each item among them.
 
         A match of ``least`` characters holds a whole gram that starts at a multiple of least - width + 1, so only
         grams at those places are looked up; where one occurs in an item, the automaton runs from the earliest
@@ -105,6 +125,7 @@ class LeakFinder:
         least, width, step, n = self.least, self.width, self.least - self.width + 1, len(text)
         for ids, automaton, grams in self.parts:
             following, link, length, items = automaton.next, automaton.link, automaton.length, automaton.items
+            top = self._tops[automaton]
             done = 0
             for probe in range(0, n - width + 1, step):
                 if probe + width <= done or text[probe : probe + width] not in grams:
@@ -119,12 +140,10 @@ class LeakFinder:
                         at = following[at][c]
                         matched += 1
                     i += 1
-                    if matched >= least and (i == n or text[i] not in following[at]):
-                        found, state = items[at], at
-                        while length[link[state]] >= least:
-                            state = link[state]
-                            found |= items[state]
-                        yield i - matched, i, [ids[k] for k in range(found.bit_length()) if found >> k & 1]
+                    if matched >= least:
+                        own, after = items[at], following[at].get(text[i]) if i < n else None
+                        if after is None or items[after] != own or items[top[at]] != own:
+                            yield from self._ending(automaton, ids, at, matched, i)
                     if i - matched > probe and matched < width:
                         break
                 done = i
