@@ -127,7 +127,7 @@ def _deeper(large: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _close(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in the same (contiguous) node whose sketches differ in at most ``most`` bits; with ``side``, only pairs across sides where a node has two."""
+    """Pairs of rows in the same (contiguous) node whose sketches differ in at most ``most`` bits; with ``side``, only pairs across sides where a node has two (1 and 2; 0 is a node of one)."""
     left, right = [], []
     s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bitwise_count takes the absolute value of signed integers
     at, k = np.arange(len(node) - 1), 1
@@ -136,7 +136,7 @@ def _close(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, mo
         apart = np.bitwise_count(s1[at] ^ s1[at + k]).astype(np.int64) + np.bitwise_count(s2[at] ^ s2[at + k])
         hit = at[apart <= most]
         if side is not None:
-            hit = hit[side[hit] != side[hit + k]]
+            hit = hit[(side[hit] == 0) | (side[hit] != side[hit + k])]
         left.append(ids[hit])
         right.append(ids[hit + k])
         k += 1
@@ -203,7 +203,7 @@ def _blocks(large: DataFrame, sizes: DataFrame, signatures: DataFrame, most: int
         held: pd.DataFrame | None = None
 
         def done(r: pd.DataFrame) -> pd.DataFrame:
-            a, b = _close(*(r[c].to_numpy() for c in ("node", "id", "s1", "s2")), most)
+            a, b = _close(*(r[c].to_numpy() for c in ("node", "id", "s1", "s2")), most, r["side"].to_numpy())
             return pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
