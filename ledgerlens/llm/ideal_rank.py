@@ -13,11 +13,20 @@ from ledgerlens.runtime import cut_lineage, salted_join
 TAIL = 0.02
 #: Rank accuracy of the winsorising limits: a group of fewer items than this has exact limits.
 ACCURACY = 10_000
+#: Parts into which the items of each group are spread.
+SALTS = 16
 
 
 def _one_row_per_item(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    clean = df.select(group, item, *(clean_score(F.col(s)).alias(s) for s in scores)).where(F.col(group).isNotNull() & F.col(item).isNotNull())
-    return clean.groupBy(group, item).agg(*(F.max(s).alias(s) for s in scores))
+    """Each different item of a group with its scores and a salt; partitioned by group and salt, once for all that follows."""
+    salt = F.pmod(F.xxhash64(F.col(item)), F.lit(SALTS)).cast("int").alias("__salt")
+    clean = df.select(group, item, salt, *(clean_score(F.col(s)).alias(s) for s in scores)).where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    return clean.repartition(group, "__salt").groupBy(group, "__salt", item).agg(*(F.max(s).alias(s) for s in scores))
+
+
+def _spread(stats: DataFrame) -> DataFrame:
+    """One row per group, repeated for every salt."""
+    return stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL) -> DataFrame:
@@ -29,8 +38,9 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     anti-ideal the worst; closeness is d- / (d+ + d-), with weighted distances. An item that is at least as good
     as another in every score never gets a lower closeness.
 
-    Two aggregations per group give everything needed (limits, then norms and extremes); both combine on the map
-    side, and their one row per group comes back over a salted join, so one question may hold a third of all rows.
+    Two aggregations per group give everything needed (limits, then norms and extremes); both combine within tasks.
+    The rows are shuffled once, by group and a salt, and stay there: only the one row per group travels to them, so
+    one question may hold a third of all rows.
 
     Defined cases: null and NaN scores count as the group's worst value of that score; a score that is the same
     (or missing) for the whole group contributes nothing; a group in which no score tells items apart has
@@ -42,15 +52,15 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
         raise ValueError("one non-negative weight per score is needed, not all zero")
     items = _one_row_per_item(df, group, item, scores)
     limits = items.groupBy(group).agg(*(F.percentile_approx(s, [tail, 1 - tail], ACCURACY).alias(f"__q_{s}") for s in scores))
-    cut = salted_join(items, limits, [group], item)
+    cut = items.join(_spread(limits), [group, "__salt"])
 
     def winsorised(s: str) -> Column:
         low, high = F.col(f"__q_{s}")[0], F.col(f"__q_{s}")[1]
         return F.coalesce(F.least(F.greatest(F.col(s), low), high) - low, F.lit(0.0))
 
-    cut = cut.select(group, item, *scores, *(winsorised(s).alias(f"__w_{s}") for s in scores))
+    cut = cut.select(group, "__salt", item, *scores, *(winsorised(s).alias(f"__w_{s}") for s in scores))
     norms = cut.groupBy(group).agg(*(F.sqrt(F.sum(F.col(f"__w_{s}") * F.col(f"__w_{s}"))).alias(f"__n_{s}") for s in scores), *(F.max(f"__w_{s}").alias(f"__m_{s}") for s in scores))
-    both = salted_join(cut, norms, [group], item)
+    both = cut.join(_spread(norms), [group, "__salt"])
 
     def distance(s: str, weight: float, ideal: bool) -> Column:
         here = F.col(f"__m_{s}") - F.col(f"__w_{s}") if ideal else F.col(f"__w_{s}")
