@@ -140,7 +140,7 @@ def fit(texts: list[str], ratings: list[list[int]], penalty: float = 1e-5, round
     a sentence's target is the product of its document's smoothed ratings and the fitted distribution, so that
     easy and hard sentences inside mixed documents find their own level. Document difficulty is a ridge
     regression on the aggregated distributions, fitted on documents held out from the sentence models (two halves
-    in turn); place_cuts() turns its scale into levels.
+    in turn); place_cuts() turns the final model's scale into levels.
     """
     documents = [sentences(t) for t in texts]
     keep = [k for k, d in enumerate(documents) if d and ratings[k]]
@@ -166,16 +166,18 @@ def fit(texts: list[str], ratings: list[list[int]], penalty: float = 1e-5, round
         levels = _softmax(_scores(*train(rest), *features(parts), len(parts)))
         x[held] = _aggregate(levels, parts, [documents[k] for k in held])
     document = _ridge(x, mean, 1e-3 * len(documents))
-    return ReadingModel(*train(everything), document, place_cuts(x @ document, mean))
+    model = ReadingModel(*train(everything), document, np.arange(1.5, LEVELS))
+    model.cuts = place_cuts(model.difficulty(documents), mean)
+    return model
 
 
 def place_cuts(score: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Four increasing cuts on the difficulty scale, midway between the median scores of neighbouring levels.
 
-    A document counts for the level nearest to its raters' mean; medians keep single mistaken ratings from moving
-    a cut. A level that no document has stands at its own number.
+    A document counts for the level nearest to its raters' mean, one halfway between two levels for neither; medians
+    keep single mistaken ratings from moving a cut. A level that no document has stands at its own number.
     """
-    nearest = np.clip(np.floor(mean + 0.5), 1, LEVELS)
+    nearest = np.where(np.abs(mean - np.rint(mean)) < 0.5, np.clip(np.rint(mean), 1, LEVELS), 0)
     middle = np.array([np.median(score[nearest == k]) if (nearest == k).any() else k for k in range(1, LEVELS + 1)])
     middle = np.maximum.accumulate(middle)
     return (middle[:-1] + middle[1:]) / 2
