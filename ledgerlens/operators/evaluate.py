@@ -45,6 +45,24 @@ def verdict_class(verdict: Column) -> Column:
     return F.when(F.startswith(verdict, F.lit("正确")) | F.startswith(verdict, F.lit("ok")), "ok").when(F.startswith(verdict, F.lit("部分")) | F.startswith(verdict, F.lit("part")), "part").otherwise("bad")
 
 
+def with_annotations(results: DataFrame, annotations: DataFrame, key: str = "id") -> DataFrame:
+    """Results with the people's ``verdict``, ``expected`` and ``analysis`` of the same key and the verdict's ``class``; bad where there is none."""
+    own = annotations.select(key, "verdict", "expected", "analysis").dropDuplicates([key])
+    joined = results.drop("verdict", "expected", "analysis").join(own, key, "left")
+    return joined.withColumn("class", verdict_class(F.coalesce("verdict", F.lit(""))))
+
+
+def differing(left: DataFrame, right: DataFrame, key: str, values: list[str], tolerance: float = 1.0) -> DataFrame:
+    """Keys whose values differ between two results by more than ``tolerance``, or that only one of them has: ``key``, ``column``."""
+    a = left.select(key, F.lit(True).alias("__a"), *(F.col(v).alias(f"__a_{v}") for v in values))
+    b = right.select(key, F.lit(True).alias("__b"), *(F.col(v).alias(f"__b_{v}") for v in values))
+    both = a.join(b, key, "full_outer")
+    absent = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.lit("*"))
+    off = [F.when(F.col(f"__a_{v}").isNull() != F.col(f"__b_{v}").isNull(), v).when(F.abs(F.col(f"__a_{v}") - F.col(f"__b_{v}")) > tolerance, v) for v in values]
+    names = F.when(absent.isNotNull(), F.array(absent)).otherwise(F.array_compact(F.array(*off)))
+    return both.select(key, F.explode(names).alias("column"))
+
+
 def verdict_summary(recalls: DataFrame, questions: DataFrame) -> DataFrame:
     """``verdict``, ``n``: questions by verdict; unanswered ones are bad."""
     asked = questions.where("id is not null").select(F.col("id").alias("qid")).distinct().join(recalls, "qid", "left")

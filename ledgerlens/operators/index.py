@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ledgerlens.functions.text import folded, folded_terms
 from ledgerlens.functions.vocabulary import MIN_DF
 from ledgerlens.plans.ranking import number_all, running_total
+from ledgerlens.runtime import broadcast_if_small
 
 #: Documents per posting block, as a power of two: a common term's postings are spread over blocks of bounded size.
 BLOCK_BITS = 12
@@ -119,3 +120,28 @@ def dictionary(df: DataFrame, column: str, order_by: str | None = None) -> DataF
     if order_by is None:
         return number_all(values.agg(F.count("*").alias("n")).drop("n"), [F.col("value")], "code")
     return number_all(values.agg(F.min(order_by).alias("first")), [F.col("first"), F.col("value")], "code").drop("first")
+
+
+def encoded(df: DataFrame, columns: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with each column of ``columns`` replaced by its code in the dictionary given for it; null stays null.
+
+    A dictionary is broadcast after it has been counted.
+    """
+    for name, values in columns.items():
+        known = values.select(F.col("value").alias(name), F.col("code").alias("__code"))
+        df = df.join(broadcast_if_small(known, values.count()), name, "left").withColumn(name, F.col("__code")).drop("__code")
+    return df
+
+
+def decoded(df: DataFrame, columns: dict[str, DataFrame]) -> DataFrame:
+    """The opposite of encoded()."""
+    for name, values in columns.items():
+        known = values.select(F.col("code").alias(name), F.col("value").alias("__value"))
+        df = df.join(broadcast_if_small(known, values.count()), name, "left").withColumn(name, F.col("__value")).drop("__value")
+    return df
+
+
+def embed_text(df: DataFrame, chars: int = 1500) -> Column:
+    """What an encoder reads of a chunk: its non-empty name, period, section and subsection, a line feed, its text; cut to ``chars``."""
+    head = F.concat_ws(" ", *(F.nullif(df[c], F.lit("")) for c in ("name", "period", "section", "subsection")))
+    return F.substring(F.concat(head, F.lit("\n"), F.coalesce(df["text"], F.lit(""))), 1, chars)

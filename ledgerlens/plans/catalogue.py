@@ -97,6 +97,18 @@ def section_codes(spark: SparkSession, d: str) -> DataFrame:
     return index.dictionary(read_table(spark, d, "chunks").where("idx is not null"), "section", "idx")
 
 
+@query
+def dict_encode(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").where("idx is not null").select("idx", "name", "section").distinct()
+    return index.encoded(chunks, {"name": index.dictionary(chunks, "name"), "section": index.dictionary(chunks, "section", "idx")})
+
+
+@query
+def embed_text(spark: SparkSession, d: str) -> DataFrame:
+    chunks = read_table(spark, d, "chunks").where("idx is not null")
+    return chunks.select("idx", index.embed_text(chunks).alias("body")).distinct()
+
+
 @query
 def query_expand(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "questions").where("id is not null").select("id", search.expand_query(F.col("question")).alias("expanded")).distinct()

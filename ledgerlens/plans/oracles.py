@@ -142,6 +142,8 @@ def statements() -> dict[str, str]:
         "posting_offsets": f"WITH {_GAPS}, s AS (SELECT term, count(*) AS df, CAST(sum(bytes) AS BIGINT) AS bytes FROM coded GROUP BY term) SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM s",
         "company_codes": "SELECT name AS value, row_number() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT name FROM chunks WHERE name IS NOT NULL)",
         "section_codes": "SELECT section AS value, row_number() OVER (ORDER BY first, section) - 1 AS code FROM (SELECT section, min(idx) AS first FROM chunks WHERE section IS NOT NULL AND idx IS NOT NULL GROUP BY section)",
+        "dict_encode": "WITH c AS (SELECT DISTINCT idx, name, section FROM chunks WHERE idx IS NOT NULL), n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT name FROM c WHERE name IS NOT NULL)), s AS (SELECT section, row_number() OVER (ORDER BY first, section) - 1 AS code FROM (SELECT section, min(idx) AS first FROM c WHERE section IS NOT NULL GROUP BY section)) SELECT c.idx, n.code AS name, s.code AS section FROM c LEFT JOIN n USING (name) LEFT JOIN s USING (section)",
+        "embed_text": "SELECT DISTINCT idx, substr(concat_ws(' ', nullif(name, ''), nullif(period, ''), nullif(section, ''), nullif(subsection, '')) || chr(10) || coalesce(text, ''), 1, 1500) AS body FROM chunks WHERE idx IS NOT NULL",
         "query_expand": f"SELECT DISTINCT id, {_EXPANDED} AS expanded FROM questions WHERE id IS NOT NULL",
         "metric_query": f"SELECT DISTINCT id, CASE {metric_rules} ELSE q END AS reduced FROM (SELECT id, regexp_replace(question, '^\\s*全景\\s*[:：]?\\s*', '') AS q FROM questions WHERE id IS NOT NULL)",
         "filter_detect": f"WITH {_FILTERS} SELECT id, code, period FROM filters",

@@ -93,3 +93,28 @@ def test_streamed_index_equals_the_batch_index(spark, tmp_path):
     q = incremental.index_stream(incremental.chunk_stream(spark, str(folder), 1), str(tmp_path / "sink"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert rows(incremental.current_counts(spark, str(tmp_path / "sink"))) == rows(index.term_counts(index.tokenized(df)))
+
+
+def test_annotations_and_differences(spark):
+    results = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, verdict string")
+    notes = spark.createDataFrame([("a", "正确", "e", "n"), ("b", "部分正确", None, None), ("z", "错误", None, None)], "id string, verdict string, expected string, analysis string")
+    assert rows(evaluate.with_annotations(results, notes).select("id", "class")) == [("a", "ok"), ("b", "part"), ("c", "bad")]
+    left = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", None), ("d", 1.0)], "k string, v double")
+    right = spark.createDataFrame([("a", 1.5), ("b", 9.0), ("c", 1.0), ("e", 1.0)], "k string, v double")
+    assert rows(evaluate.differing(left, right, "k", ["v"])) == [("b", "v"), ("c", "v"), ("d", "*"), ("e", "*")]
+
+
+def test_dictionaries_round_trip(spark):
+    df = spark.createDataFrame([(3, "乙"), (1, "丙"), (2, None), (4, "丙")], "idx bigint, s string")
+    first = index.dictionary(df, "s", "idx")
+    assert rows(first) == [("丙", 0), ("乙", 1)] and rows(index.dictionary(df, "s")) == [("丙", 0), ("乙", 1)]
+    codes = index.encoded(df, {"s": first})
+    assert rows(codes.select("idx", "s")) == [(1, 0), (2, None), (3, 1), (4, 0)]
+    assert rows(index.decoded(codes, {"s": first}).select("idx", "s")) == rows(df)
+    empty = spark.createDataFrame([], "idx bigint, s string")
+    assert rows(index.dictionary(empty, "s")) == []
+
+
+def test_embedded_text_is_cut(spark):
+    df = spark.createDataFrame([("甲", None, "", "节", "文" * 3000), (None, None, None, None, None)], "name string, period string, section string, subsection string, text string")
+    assert [r[0] for r in df.select(index.embed_text(df)).collect()] == ["甲 节\n" + "文" * 1496, "\n"]
