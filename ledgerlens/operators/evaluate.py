@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ledgerlens.functions.text import squeeze
 from ledgerlens.functions.vocabulary import NOT_A_REPORT
-from ledgerlens.runtime import broadcast_if_small
+from ledgerlens.runtime import BROADCAST_ROWS, broadcast_if_small
 
 
 def contained(patterns: DataFrame, texts: DataFrame, pattern_key: str, pattern: str, text_key: str, text: str) -> DataFrame:
@@ -77,11 +77,16 @@ def coverage(results: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def missing_companies(results: DataFrame, companies: DataFrame) -> DataFrame:
-    """``qid``, ``code`` of companies that have no result for a question; per question, at most all companies."""
-    every = companies.where("code is not null").select("code").distinct()
-    asked = results.select("qid").distinct()
-    grid = asked.join(broadcast_if_small(every, every.count()), F.lit(True))
-    return grid.join(results.select("qid", "code").distinct(), ["qid", "code"], "left_anti")
+    """``qid``, ``code`` of companies that have no result for a question.
+
+    Companies are a dimension table: it is read to the driver up to BROADCAST_ROWS, more is an error, so a question's
+    set of codes is bounded as well.
+    """
+    every = [r[0] for r in companies.where("code is not null").select("code").distinct().orderBy("code").limit(BROADCAST_ROWS + 1).collect()]
+    if len(every) > BROADCAST_ROWS:
+        raise ValueError("companies is not a dimension table")
+    named = results.groupBy("qid").agg(F.collect_set("code").alias("named"))
+    return named.select("qid", F.explode(F.array_except(F.lit(every).cast("array<string>"), "named")).alias("code"))
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: A run of neighbouring lines that begin with a bar.
@@ -161,5 +160,3 @@ def to_markdown(rows: Column) -> Column:
     body = F.transform(F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0))), line)
     return F.when(F.size(full) >= 2, F.array_join(F.concat(F.array(line(F.element_at(padded, 1)), rule), body), "\n"))
 
-
-TABLE_SCHEMA = T.ArrayType(T.ArrayType(T.StringType()))
