@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.topn import clean_score, top_n
+from ledgerlens.llm.topn import clean_score, nth_score
 from ledgerlens.plans.ranking import rank_all
 from ledgerlens.runtime import cut_lineage, salted_join
 
@@ -88,9 +88,9 @@ def leaders(df: DataFrame, group: str, item: str, scores: list[str], n: int = 3,
     """
     near = cut_lineage(closeness(df, group, item, scores, None, tail))
     depth = len(scores) * (n - 1) + 1
-    head = top_n(near, [group], item, "closeness", depth).groupBy(group).agg(F.min("score").alias("__least"))
+    head = nth_score(near, [group], item, "closeness", depth).withColumnRenamed("least", "__least")
     found = salted_join(near, head, [group], item).where(F.col("closeness") >= F.col("__least") - 1e-9)
     for s in scores:
-        bar = top_n(near, [group], item, s, n).groupBy(group).agg(F.min("score").alias(f"__bar_{s}"))
+        bar = nth_score(near, [group], item, s, n).withColumnRenamed("least", f"__bar_{s}")
         found = found.join(bar, [group]).where(F.col(s) >= F.col(f"__bar_{s}"))
     return found.select(group, item)
