@@ -17,6 +17,9 @@ from ledgerlens.runtime import BROADCAST_ROWS
 #: Hashed features per sentence model and the labelled documents the models are fitted on, at most.
 FEATURES, LABELLED = 1 << 15, 1000
 LEVELS = 5
+#: Expected sentence levels at which a document's distribution is read, and the features that gives.
+LEVEL_CUTS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5)
+DOCUMENT_FEATURES = 2 * len(LEVEL_CUTS) + 1
 _END = re.compile(r"[^。！？!?；;\n\r]*?(?:[。！？!?；;\n\r]+|\.(?=\s|$))|[^。！？!?；;\n\r]+")
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -99,16 +102,21 @@ class ReadingModel:
 
 
 def _aggregate(levels: np.ndarray, parts: list[str], documents: list[list[str]]) -> np.ndarray:
-    """Per document, the mean level distribution of its sentences, by sentence and by length; a constant and the mean level."""
+    """Per document, the distribution of its sentences' levels: the shares above each cut of LEVEL_CUTS, by sentence and by length; and a constant.
+
+    Shares of sentences rather than mean probabilities, since the models are surer of some languages and forms than of others.
+    """
     sizes = np.array([len(d) for d in documents])
     of = np.repeat(np.arange(len(documents)), sizes)
     length = np.array([len(s) for s in parts], dtype=float)
     by_length = np.bincount(of, weights=length, minlength=len(documents))
-    out = np.full((len(documents), 2 * LEVELS + 1), np.nan)
-    for k in range(LEVELS):
+    expected = levels @ np.arange(1, LEVELS + 1)
+    out = np.full((len(documents), DOCUMENT_FEATURES), np.nan)
+    for k, cut in enumerate(LEVEL_CUTS):
+        above = (expected >= cut).astype(float)
         with np.errstate(invalid="ignore", divide="ignore"):
-            out[:, k] = np.bincount(of, weights=levels[:, k], minlength=len(documents)) / sizes
-            out[:, LEVELS + k] = np.bincount(of, weights=levels[:, k] * length, minlength=len(documents)) / by_length
+            out[:, 2 * k] = np.bincount(of, weights=above, minlength=len(documents)) / sizes
+            out[:, 2 * k + 1] = np.bincount(of, weights=above * length, minlength=len(documents)) / by_length
     out[:, -1] = np.where(sizes > 0, 1.0, np.nan)
     return out
 
@@ -146,7 +154,7 @@ def fit(texts: list[str], ratings: list[list[int]], penalty: float = 1e-5, round
     keep = [k for k, d in enumerate(documents) if d and ratings[k]]
     documents, ratings = [documents[k] for k in keep], [ratings[k] for k in keep]
     if not documents:
-        return ReadingModel(np.zeros((FEATURES, LEVELS)), np.zeros(LEVELS), np.r_[np.zeros(2 * LEVELS), 3.0], np.arange(1.5, LEVELS))
+        return ReadingModel(np.zeros((FEATURES, LEVELS)), np.zeros(LEVELS), np.r_[np.zeros(DOCUMENT_FEATURES - 1), 3.0], np.arange(1.5, LEVELS))
     share = np.array([np.bincount(np.clip(r, 1, LEVELS) - 1, minlength=LEVELS) / len(r) for r in ratings])
     mean = share @ np.arange(1, LEVELS + 1)
 
@@ -159,7 +167,7 @@ def fit(texts: list[str], ratings: list[list[int]], penalty: float = 1e-5, round
         return _fit_sentences(parts, own / own.sum(axis=1, keepdims=True), penalty, rounds)
 
     everything = np.arange(len(documents))
-    x = np.zeros((len(documents), 2 * LEVELS + 1))
+    x = np.zeros((len(documents), DOCUMENT_FEATURES))
     for held in (everything[::2], everything[1::2]) if len(documents) >= 4 else (everything,):
         rest = np.setdiff1d(everything, held) if len(documents) >= 4 else everything
         parts = [s for k in held for s in documents[k]]
