@@ -201,7 +201,8 @@ def topn_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grouped_wide_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return search.grouped(_channels(spark, d), 3, wide=64)
+    companies = read_table(spark, d, "companies").where("code is not null").select("code").distinct().count()
+    return search.grouped(_channels(spark, d), 3, wide=search.wide_search(3, companies))
 
 
 @query
