@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, index
+from ledgerlens.plans import catalogue
 from ledgerlens.sources import readers, sinks
 from ledgerlens.streaming import incremental
 from tests.conftest import rows
@@ -21,6 +22,15 @@ def test_recall_and_verdicts(spark):
     assert rows(evaluate.verdict_summary(recalls, questions)) == [("bad", 2), ("ok", 1), ("part", 1)]
 
 
+def test_gold_beyond_any_head_is_part(spark, tmp_path):
+    results = [(q, i, float(1000 - i), 0.0, i == gold, "1") for q, gold in (("a", 59), ("b", 3), ("c", None), ("d", 1499)) for i in range(1500 if q == "d" else 60)]
+    spark.createDataFrame(results, "qid string, idx bigint, bm25 double, cos double, gold boolean, code string").write.parquet(f"{tmp_path}/retrieved.parquet")
+    spark.createDataFrame([(q,) for q in "abcde"], "id string").write.parquet(f"{tmp_path}/questions.parquet")
+    queries = catalogue.queries()
+    assert rows(queries["recall_at_k"](spark, str(tmp_path))) == [("a", 60, False, "part"), ("b", 4, True, "ok"), ("c", None, False, "bad"), ("d", 1500, False, "part")]
+    assert rows(queries["verdict_summary"](spark, str(tmp_path))) == [("bad", 2), ("ok", 1), ("part", 2)]
+
+
 def test_published_totals_follow_from_their_questions(spark):
     # The published per-question hits and totals of the reference evaluation.
     recall = spark.createDataFrame([(3,), (1,), (2,), (2,), (1,), (1,), (1,), (1,), (1,), (1,), (0,)], "hit int").agg(F.sum("hit").alias("hit"), F.lit(15).alias("total"))
