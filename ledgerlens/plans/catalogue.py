@@ -143,10 +143,10 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     scores = search.bm25_scores(_tokens(spark, d), _wanted(spark, d))
-    where = read_table(spark, d, "chunks").where("idx is not null").select("idx", "code", "period").distinct()
-    asked = search.stated_queries(read_table(spark, d, "questions"))
-    use = search.with_fallback(search.detect_filters(asked, read_table(spark, d, "companies")), read_table(spark, d, "chunks")).select("id", "use_code", "use_period")
-    fits = F.expr("(use_code is null or code = use_code) and (use_period is null or contains(period, use_period))")
+    where = read_table(spark, d, "chunks").where("idx is not null").select("idx", "code", "period", "kind").distinct()
+    asked = read_table(spark, d, "questions").where(search.question_number(F.col("id")) % 20 == 0)
+    use = search.with_fallback(search.asked_filters(asked, read_table(spark, d, "companies")), read_table(spark, d, "chunks")).select("id", "use_code", "use_period", "use_kind")
+    fits = F.expr("(use_code is null or code = use_code) and (use_period is null or contains(period, use_period)) and (use_kind is null or kind = use_kind)")
     return search.top_k(scores.join(where, "idx").join(use, "id").where(fits).select("id", "idx", "bm25"), "id", "bm25", "idx", 10)
 
 
