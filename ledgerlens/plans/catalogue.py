@@ -289,7 +289,7 @@ def llm_context(spark: SparkSession, d: str) -> DataFrame:
 @query
 def highlight(spark: SparkSession, d: str) -> DataFrame:
     marked = answers.highlighted(F.col("text"), answers.question_terms(F.col("question")))
-    return _best(spark, d, 1).select("qid", "idx", marked.alias("marked"))
+    return _best(spark, d, 8).select("qid", "idx", marked.alias("marked"))
 
 
 @query

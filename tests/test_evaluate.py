@@ -31,6 +31,14 @@ def test_gold_beyond_any_head_is_part(spark, tmp_path):
     assert rows(queries["verdict_summary"](spark, str(tmp_path))) == [("bad", 2), ("ok", 1), ("part", 2)]
 
 
+def test_every_shown_result_is_marked(spark, tmp_path):
+    spark.createDataFrame([("q", i, float(1000 - i), 0.0, False, "1") for i in range(10)], "qid string, idx bigint, bm25 double, cos double, gold boolean, code string").write.parquet(f"{tmp_path}/retrieved.parquet")
+    spark.createDataFrame([("q", "营收")], "id string, question string").write.parquet(f"{tmp_path}/questions.parquet")
+    chunks = spark.createDataFrame([(i, f"{i} 营收") for i in range(10)], "idx bigint, text string")
+    chunks.selectExpr("idx", "text", "'' name", "'' title", "'' section", "'' subsection", "1 page_start", "1 page_end", "'text' type").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert rows(catalogue.queries()["highlight"](spark, str(tmp_path))) == [("q", i, f"{i} <mark>营收</mark>") for i in range(8)]
+
+
 def test_published_totals_follow_from_their_questions(spark):
     # The published per-question hits and totals of the reference evaluation.
     recall = spark.createDataFrame([(3,), (1,), (2,), (2,), (1,), (1,), (1,), (1,), (1,), (1,), (0,)], "hit int").agg(F.sum("hit").alias("hit"), F.lit(15).alias("total"))
