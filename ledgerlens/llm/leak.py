@@ -186,7 +186,7 @@ def scrub(docs: DataFrame, eval_items: DataFrame, doc: str, text: str, item: str
     """Documents without the leaked spans: ``doc_id``, ``text``, ``removed_chars``, ``dropped``.
 
     Every shared span of at least ``least`` characters is cut out of the text, from its first letter or digit to
-    its last. Where the spans cover more than ``most_share`` of a document's letters and digits, the whole text
+    its last with the marks on it; characters that NFKC joins, such as decomposed jamo, are cut together. Where the spans cover more than ``most_share`` of a document's letters and digits, the whole text
     is dropped (null, ``dropped`` true). Only documents that hold a span come out.
 
     Defined cases: as in leaks(); rows equal in id and text come out once.
@@ -201,6 +201,25 @@ def scrub(docs: DataFrame, eval_items: DataFrame, doc: str, text: str, item: str
     return rows.mapInPandas(clean, "doc_id long, text string, removed_chars long, dropped boolean").distinct()
 
 
+def segments(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the shortest pieces that NFKC changes independently of each other, in order.
+
+    A piece grows by every character that is a mark, becomes one, or joins with what is before it, such as the
+    vowel and the final consonant of a Korean syllable in decomposed jamo.
+    """
+    at, done = 0, ""
+    for end in range(1, len(text) + 1):
+        done = done or unicodedata.normalize("NFKC", text[at:end])
+        if end < len(text):
+            one = unicodedata.normalize("NFKC", text[end])
+            joined = unicodedata.normalize("NFKC", done + text[end])
+            if unicodedata.combining(text[end]) or unicodedata.combining(one[:1] or "a") or joined != done + one:
+                done = joined
+                continue
+        yield at, end
+        at, done = end, ""
+
+
 def cut_spans(text: str, finder: LeakFinder, most_share: float) -> tuple[str | None, int, bool] | None:
     """``text`` without its leaked spans, the characters removed and whether all of it goes; None where nothing leaked."""
     plain = normal(text)
@@ -215,21 +234,16 @@ def cut_spans(text: str, finder: LeakFinder, most_share: float) -> tuple[str | N
             merged.append([start, end])
     if sum(e - s for s, e in merged) > most_share * len(plain):
         return None, len(text), True
-    # NFKC may join or split characters, so places are found on the text's own characters, composed together with the marks that follow them.
-    owner: list[int] = []
-    at = 0
-    while at < len(text):
-        end = at + 1
-        while end < len(text) and unicodedata.combining(text[end]):
-            end += 1
-        owner.extend([at] * len(normal(text[at:end])))
-        at = end
+    # NFKC may join or split characters, so places are found on segments of the text that it leaves apart.
+    owner: list[tuple[int, int]] = []
+    for at, end in segments(text):
+        owner.extend([(at, end)] * len(normal(text[at:end])))
     if len(owner) != len(plain):
         return None, len(text), True
     out, done = [], 0
     for start, end in merged:
-        out.append(text[done : owner[start]])
-        done = owner[end - 1] + 1
+        out.append(text[done : owner[start][0]])
+        done = owner[end - 1][1]
     out.append(text[done:])
     kept = "".join(out)
     return kept, len(text) - len(kept), False

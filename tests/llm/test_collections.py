@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -203,6 +204,22 @@ def test_several_automata(monkeypatch):
     assert {i for _, _, ids in finder.spans("前共同的一段文字在此后") for i in ids} == set(range(20))
 
 
+def test_only_the_span_goes_from_texts_of_joining_characters():
+    leaked = "".join(chr(0xAC00 + 588 * (i % 19) + 28 * (i % 21) + i % 28) for i in range(45))
+    finder = leak.LeakFinder([(1, leaked)], 40)
+    before, after = "앞글 " * 30, " 뒷글" * 30
+    apart = lambda x: unicodedata.normalize("NFD", x)
+    assert leak.cut_spans(apart(before + leaked + after), finder, 0.5) == (apart(before + after), len(apart(leaked)), False)
+    rng = random.Random(5)
+    odd = [*"aeΣσ1 .가각ㄱㅏ卡ﬁ①㍿ｶﾊカはÅİ", *apart("각힣"), *"\u0301\u0323\u3099ﾞﾟ\u0f71\u0f72\u0344\u1161\u11a8\u0338\u09be\u09c7\u1ffe"]
+    for _ in range(3000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(1, 12)))
+        pieces = list(leak.segments(text))
+        assert "".join(text[a:b] for a, b in pieces) == text
+        assert "".join(unicodedata.normalize("NFKC", text[a:b]) for a, b in pieces) == unicodedata.normalize("NFKC", text)
+        assert sum(len(leak.normal(text[a:b])) for a, b in pieces) == len(leak.normal(text))
+
+
 def test_leak_table_and_scrub(spark):
     passage = "据溆峡葭核对，萱棠汀库区账面多出125箱，差异率43%，已转璞潭松科处理。该批次的交付比计划晚72天。"
     docs = [(1, "开头。" + passage.replace("1", "１") + "结尾，" + "无关的文字" * 30), (1, "开头。" + passage.replace("1", "１") + "结尾，" + "无关的文字" * 30), (2, passage[:30]), (3, None), (4, ""), (None, passage), (5, passage), (6, "长" * 300_000 + passage)]
