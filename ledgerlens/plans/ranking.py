@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlens.runtime import cut_lineage
+from ledgerlens.runtime import broadcast_if_small, cut_lineage
 
 
 def _placed(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -47,3 +47,21 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
     before = F.coalesce(F.sum("__sum").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = F.broadcast(parts.select("__task", before.alias("__before")))
     return placed.withColumn("__local", local).join(parts, "__task").withColumn(name, F.col("__before") + F.col("__local")).drop("__at", "__task", "__local", "__before")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, spread_by: str, shares: list[float]) -> DataFrame:
+    """``keys``, ``share_no`` and ``value``: of each group the value at rank max(1, ceil(share * n)), for every share.
+
+    Exact at any size: the rows are sorted by range once, so a large group, or a large run of equal values, spans many
+    tasks (``spread_by`` breaks ties between values); counts per task tell which row of which task is wanted.
+    """
+    placed = _placed(df.select(*keys, value, F.xxhash64(spread_by).alias("__tie")), keys, [F.col(value), F.col("__tie")])
+    parts = placed.groupBy(*keys, "__task").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    own = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(own.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__before", before).withColumn("__total", F.sum("__n").over(own))
+    share = F.explode(F.array(*(F.struct(F.lit(k).alias("no"), F.lit(float(s)).alias("share")) for k, s in enumerate(shares)))).alias("s")
+    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("s.share") * F.col("__total")).cast("long"))
+    wanted = parts.select("__first", "__n", "__before", "__total", share).withColumn("__rank", rank).where("__rank > __before and __rank <= __before + __n")
+    wanted = cut_lineage(wanted.select(F.col("s.no").alias("share_no"), (F.col("__first") + F.col("__rank") - F.col("__before") - 1).alias("__at")))
+    return placed.join(broadcast_if_small(wanted, wanted.count()), "__at").select(*keys, "share_no", value)

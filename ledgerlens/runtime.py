@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast after it has been counted.
 BROADCAST_ROWS = 200_000
+#: Rows of one key beyond which the key is spread over several tasks.
+HOT_ROWS = 100_000
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -39,14 +42,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests in one JVM, a temporary folder is used.
+    Only where that setting is absent and everything runs in one JVM, as in tests, a temporary folder is used; on a
+    cluster without the setting this is an error, since executors would write to different disks.
     """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or os.path.join(tempfile.gettempdir(), "ledgerlens-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), "ledgerlens-checkpoints")
     sc.setCheckpointDir(path)
     return path
 
@@ -71,3 +78,38 @@ def salted_join(rows: DataFrame, stats: DataFrame, on: list[str], salt_by: str,
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
     right = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def hot_keys(rows: DataFrame, on: list[str], most: int = HOT_ROWS) -> DataFrame | None:
+    """``on`` and ``__parts`` of the keys that have more than ``most`` rows, ready to be joined; None where there is none.
+
+    Counting combines on the map side. There are at most rows / most such keys, and they are broadcast only after they
+    have been counted.
+    """
+    hot = cut_lineage(rows.groupBy(*on).count().where(F.col("count") > most).select(*on, F.ceil(F.col("count") / F.lit(most)).cast("int").alias("__parts")))
+    many = hot.count()
+    return broadcast_if_small(hot, many) if many else None
+
+
+def salted(rows: DataFrame, hot: DataFrame | None, on: list[str], salt_by: str) -> DataFrame:
+    """``rows`` with ``__salt``: 0, or for a hot key a part by the hash of ``salt_by``."""
+    if hot is None:
+        return rows.withColumn("__salt", F.lit(0))
+    parts = rows.join(hot, on, "left")
+    return parts.withColumn("__salt", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(salt_by), F.col("__parts"))).otherwise(0).cast("int")).drop("__parts")
+
+
+def repeated(stats: DataFrame, hot: DataFrame | None, on: list[str]) -> DataFrame:
+    """``stats`` with ``__salt``: one row per key, for a hot key one per part."""
+    if hot is None:
+        return stats.withColumn("__salt", F.lit(0))
+    parts = stats.join(hot, on, "left")
+    return parts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+
+
+def spread_join(rows: DataFrame, stats: DataFrame, on: list[str], salt_by: str, how: str = "inner", most: int = HOT_ROWS) -> DataFrame:
+    """Join few ``stats`` rows per key to many ``rows``; keys with more than ``most`` rows are spread over as many tasks as their count asks for."""
+    hot = hot_keys(rows, on, most)
+    if hot is None:
+        return rows.join(stats, on, how)
+    return salted(rows, hot, on, salt_by).join(repeated(stats, hot, on), [*on, "__salt"], how).drop("__salt")
