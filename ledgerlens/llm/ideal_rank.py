@@ -4,43 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ledgerlens.llm.topn import clean_score, nth_score
-from ledgerlens.plans.ranking import rank_all
-from ledgerlens.runtime import cut_lineage, salted_join
+from ledgerlens.llm.topn import clean_score
+from ledgerlens.plans.ranking import group_quantiles, rank_all
+from ledgerlens.runtime import HOT_ROWS, cut_lineage, hot_keys, repeated, salted
 
 #: Share of a group's values that is pulled in at either end before the scores are normalised.
 TAIL = 0.02
-#: Rank accuracy of the winsorising limits: a group of fewer items than this has exact limits.
-ACCURACY = 10_000
-#: Parts into which the items of each group are spread.
-SALTS = 16
 
 
-def _one_row_per_item(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """Each different item of a group with its scores and a salt; partitioned by group and salt, once for all that follows."""
-    salt = F.pmod(F.xxhash64(F.col(item)), F.lit(SALTS)).cast("int").alias("__salt")
-    clean = df.select(group, item, salt, *(clean_score(F.col(s)).alias(s) for s in scores)).where(F.col(group).isNotNull() & F.col(item).isNotNull())
-    return clean.repartition(group, "__salt").groupBy(group, "__salt", item).agg(*(F.max(s).alias(s) for s in scores))
-
-
-def _spread(stats: DataFrame) -> DataFrame:
-    """One row per group, repeated for every salt."""
-    return stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL) -> DataFrame:
+def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Relative closeness of each item to its group's ideal point: ``group``, ``item``, the scores, ``closeness``.
 
-    Within a group each score is winsorised at its ``tail`` and ``1 - tail`` quantiles and divided by the
-    Euclidean norm of the group's winsorised values, after a shift that puts the group's lowest value at zero,
-    so that neither range nor sign of a scale matters. The ideal point has the best value of each score, the
-    anti-ideal the worst; closeness is d- / (d+ + d-), with weighted distances. An item that is at least as good
-    as another in every score never gets a lower closeness.
+    Within a group each score is winsorised at its values of rank ceil(tail * n) and ceil((1 - tail) * n), exact for
+    groups of any size, and divided by the Euclidean norm of the group's winsorised values, after a shift that puts
+    the group's lowest value at zero, so that neither range nor sign of a scale matters. The ideal point has the best
+    value of each score, the anti-ideal the worst; closeness is d- / (d+ + d-), with weighted distances, to nine
+    decimals. An item that is at least as good as another in every score never gets a lower closeness.
 
-    Two aggregations per group give everything needed (limits, then norms and extremes); both combine within tasks.
-    The rows are shuffled once, by group and a salt, and stay there: only the one row per group travels to them, so
-    one question may hold a third of all rows.
+    Limits come from one range sort of all values, norms and extremes from an aggregation that combines within tasks.
+    The rows are partitioned by group once; a group of more than ``hot_rows`` rows is spread over as many parts as
+    its count asks for, and only the one row per group travels to them.
 
     Defined cases: null and NaN scores count as the group's worst value of that score; a score that is the same
     (or missing) for the whole group contributes nothing; a group in which no score tells items apart has
@@ -50,17 +35,24 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     total = sum(weights)
     if len(weights) != len(scores) or total <= 0 or min(weights) < 0:
         raise ValueError("one non-negative weight per score is needed, not all zero")
-    items = _one_row_per_item(df, group, item, scores)
-    limits = items.groupBy(group).agg(*(F.percentile_approx(s, [tail, 1 - tail], ACCURACY).alias(f"__q_{s}") for s in scores))
-    cut = items.join(_spread(limits), [group, "__salt"])
+    clean = df.select(group, item, *(clean_score(F.col(s)).alias(s) for s in scores)).where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    hot = hot_keys(clean, [group], hot_rows)
+    spread = salted(clean, hot, [group], item).repartition(group, "__salt")
+    items = cut_lineage(spread.groupBy(group, "__salt", item).agg(*(F.max(s).alias(s) for s in scores)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col(s).alias("value")) for k, s in enumerate(scores)))).alias("x")
+    long = items.select(group, item, each).select(group, item, "x.which", "x.value").where("value is not null")
+    found = group_quantiles(long, [group, "which"], "value", item, [tail, 1 - tail])
+    at = lambda k, end: F.max(F.when((F.col("which") == k) & (F.col("share_no") == end), F.col("value")))
+    limits = found.groupBy(group).agg(*(at(k, end).alias(f"__{name}_{s}") for k, s in enumerate(scores) for end, name in enumerate(("lo", "hi"))))
+    cut = items.join(repeated(limits, hot, [group]), [group, "__salt"], "left")
 
     def winsorised(s: str) -> Column:
-        low, high = F.col(f"__q_{s}")[0], F.col(f"__q_{s}")[1]
+        low, high = F.col(f"__lo_{s}"), F.col(f"__hi_{s}")
         return F.coalesce(F.least(F.greatest(F.col(s), low), high) - low, F.lit(0.0))
 
     cut = cut.select(group, "__salt", item, *scores, *(winsorised(s).alias(f"__w_{s}") for s in scores))
     norms = cut.groupBy(group).agg(*(F.sqrt(F.sum(F.col(f"__w_{s}") * F.col(f"__w_{s}"))).alias(f"__n_{s}") for s in scores), *(F.max(f"__w_{s}").alias(f"__m_{s}") for s in scores))
-    both = cut.join(_spread(norms), [group, "__salt"])
+    both = cut.join(repeated(norms, hot, [group]), [group, "__salt"])
 
     def distance(s: str, weight: float, ideal: bool) -> Column:
         here = F.col(f"__m_{s}") - F.col(f"__w_{s}") if ideal else F.col(f"__w_{s}")
@@ -70,7 +62,7 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     up = F.sqrt(sum((distance(s, w, True) for s, w in zip(scores, weights, strict=True)), F.lit(0.0)))
     down = F.sqrt(sum((distance(s, w, False) for s, w in zip(scores, weights, strict=True)), F.lit(0.0)))
     near = F.when(up + down > 0, down / (up + down)).otherwise(0.5)
-    return both.select(group, item, *scores, F.round(near, 12).alias("closeness"))
+    return both.select(group, item, *scores, F.round(near, 9).alias("closeness"))
 
 
 def ideal_rank(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL) -> DataFrame:
@@ -83,14 +75,20 @@ def leaders(df: DataFrame, group: str, item: str, scores: list[str], n: int = 3,
 
     Such an item is beaten in a score by at most n - 1 items, hence has at most len(scores) * (n - 1) items that
     it doesn't equal or exceed in all scores; closeness never ranks an equalled or exceeded item above it. So
-    all leaders have at most that many items of higher closeness, and only the head of the joint ranking is
-    checked against each score's n-th best value.
+    the candidates are the head of the joint ranking, len(scores) * (n - 1) + 1 places with ties, whatever the size of
+    the group; each is then checked exactly against every score's n-th best value. Head and bars come from one pass:
+    tasks cut each column of each group to its few best values before anything is exchanged.
     """
     near = cut_lineage(closeness(df, group, item, scores, None, tail))
-    depth = len(scores) * (n - 1) + 1
-    head = nth_score(near, [group], item, "closeness", depth).withColumnRenamed("least", "__least")
-    found = salted_join(near, head, [group], item).where(F.col("closeness") >= F.col("__least") - 1e-9)
+    depths = {"closeness": len(scores) * (n - 1) + 1, **dict.fromkeys(scores, n)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.lit(d).alias("depth"), F.col(c).alias("value")) for k, (c, d) in enumerate(depths.items())))).alias("x")
+    long = near.select(group, item, each).select(group, item, "x.*").where("value is not null")
+    place = F.row_number().over(W.partitionBy(group, "which").orderBy(F.col("value").desc()))
+    best = long.withColumn("place", place).where(F.col("place") <= max(depths.values())).where("place <= depth")
+    bars = best.groupBy(group).agg(*(F.min(F.when(F.col("which") == k, F.col("value"))).alias(f"__bar_{c}") for k, c in enumerate(depths)))
+    hot = hot_keys(near, [group])
+    judged = salted(near, hot, [group], item).join(repeated(bars, hot, [group]), [group, "__salt"])
+    head = judged.where(F.col("closeness") >= F.col("__bar_closeness") - 1e-9)
     for s in scores:
-        bar = nth_score(near, [group], item, s, n).withColumnRenamed("least", f"__bar_{s}")
-        found = found.join(bar, [group]).where(F.col(s) >= F.col(f"__bar_{s}"))
-    return found.select(group, item)
+        head = head.where(F.col(s) >= F.col(f"__bar_{s}"))
+    return head.select(group, item)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,20 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import squeeze
-from ledgerlens.runtime import broadcast_if_small, cut_lineage
+from ledgerlens.runtime import HOT_ROWS, broadcast_if_small, cut_lineage, repeated, salted, spread_join
 
 #: Minwise tokens per record on which paths branch, and minwise bits of its sketch.
 TOKENS, SKETCH = 64, 128
-#: Tokens chosen at each node; with two, a pair of similarity 0.7 stays together in some path of a tree with probability above 0.81 at any depth.
-BRANCH = 2
-#: Independent trees: together they miss a pair of similarity 0.7 with probability below 0.002 at any depth, one of 0.8 below 0.00002.
-TREES = 4
+#: Share of the pairs at the threshold that the trees together must bring into one node, for which plan() chooses branches and trees.
+RECALL = 0.998
+#: Least threshold for which TOKENS tokens give that many branches.
+LEAST_THRESHOLD = 0.3
 #: Records in a node that are compared exhaustively; larger nodes branch further.
 NODE = 400
-#: Further levels for nodes that stay large; what is large after them is compared block against block.
-LEVELS = 3
-#: A pair is verified if its sketch puts its similarity at no less than the threshold less this (over three standard deviations).
-SLACK = 0.2
+#: Records of one side when a node whose records agree in their tokens is compared block against block.
+BLOCK = 4096
+#: Large nodes branch on while a level leaves at most this share of their rows in large nodes; else their records agree.
+SHRINKS = 0.7
+#: Standard deviations by which the sketch of a pair at the threshold may fall short before the pair is left unverified.
+SLACK = 3.3
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**32, (2, SKETCH), dtype=np.uint32)
@@ -68,28 +70,52 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return ((hashes >> np.uint64(32)).astype(np.uint32)[:, None] * (a | np.uint32(1)) + b).min(axis=0)
 
 
+@dataclass(frozen=True)
+class Plan:
+    """Tokens chosen per node, independent trees, and sketch bits in which a candidate pair may differ."""
+
+    branch: int
+    trees: int
+    apart: int
+
+
+def plan(threshold: float, recall: float = RECALL) -> Plan:
+    """Branches, trees and sketch limit for a threshold.
+
+    With ``branch`` tokens chosen at a node, a pair of similarity j shares branch * j children on average: more than
+    one keeps it together at any depth with a fixed probability, from which the number of trees follows.
+    """
+    branch = max(2, math.ceil(1.4 / threshold))
+    stay = 1.0
+    for _ in range(50):
+        stay = 1 - (1 - threshold * stay) ** branch
+    trees = max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - stay))))
+    # Sketch bits of a pair of similarity j agree with probability (1 + j) / 2.
+    apart = SKETCH * (1 - threshold) / 2 + SLACK * math.sqrt(SKETCH * (1 - threshold * threshold) / 4)
+    return Plan(branch, trees, math.floor(apart))
+
+
 def _signatures(batch: pd.DataFrame, width: int, unit: str) -> pd.DataFrame:
     out = []
-    for i, text in zip(batch["id"], batch["text"], strict=True):
+    for i, h1, h2, text in zip(batch["id"], batch["h1"], batch["h2"], batch["text"], strict=True):
         h = shingles(text, width, unit)
         if not len(h):
             continue
         m = minwise(h)
         bits = np.packbits((m >> np.uint32(9)) & np.uint32(1)).view(np.int64)
-        same = np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), dtype=np.int64)
-        out.append((i, int(same[0]), int(same[1]), int(bits[0]), int(bits[1]), m[:TOKENS].tobytes()))
+        out.append((i, h1, h2, int(bits[0]), int(bits[1]), m[:TOKENS].tobytes()))
     return pd.DataFrame(out, columns=["id", "h1", "h2", "s1", "s2", "tokens"])
 
 
-def _branch(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The children of each record's nodes: ``nodes`` (records x m) and ``tokens`` (records x TOKENS) give records x (m * BRANCH).
+def _branch(nodes: np.ndarray, tokens: np.ndarray, branch: int) -> np.ndarray:
+    """The children of each record's nodes: ``nodes`` (records x m) and ``tokens`` (records x TOKENS) give records x (m * branch).
 
     A node's hash alone chooses the token places on which it branches, so all its records choose the same ones.
     """
-    rows = np.arange(len(nodes))[:, None]
+    rows, places = np.arange(len(nodes))[:, None], TOKENS // branch
     out = []
-    for k in range(BRANCH):
-        place = _mix(nodes + np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(TOKENS // BRANCH) + np.uint64(k * (TOKENS // BRANCH))
+    for k in range(branch):
+        place = _mix(nodes + np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(places) + np.uint64(k * places)
         out.append(_mix(nodes * _M1 + (place << np.uint64(32)) + tokens[rows, place.astype(np.int64)].astype(np.uint64)))
     return np.concatenate(out, axis=1)
 
@@ -98,32 +124,52 @@ def _tokens(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, TOKENS)
 
 
-def _paths(signatures: DataFrame, depth: int, trees: int) -> DataFrame:
-    """Every record's nodes at ``depth`` of each tree: ``node``, ``id``, ``s1``, ``s2``. Nothing is shuffled: paths depend on the record alone."""
+def _paths(signatures: DataFrame, depth: int, how: Plan) -> DataFrame:
+    """Every record's nodes at ``depth`` of each tree: ``node``, ``key``, ``s1``, ``s2``. Nothing is shuffled: paths depend on the record alone."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in range(0, len(batch), 2000):
                 rows = batch.iloc[part : part + 2000]
                 tokens = _tokens(rows["tokens"])
-                nodes = np.tile(_mix(np.arange(1, trees + 1, dtype=np.uint64) * _M1), (len(rows), 1))
+                nodes = np.tile(_mix(np.arange(1, how.trees + 1, dtype=np.uint64) * _M1), (len(rows), 1))
                 for _ in range(depth):
-                    nodes = _branch(nodes, tokens)
+                    nodes = _branch(nodes, tokens, how.branch)
                 repeat = nodes.shape[1]
-                yield pd.DataFrame({"node": nodes.ravel().view(np.int64), **{c: np.repeat(rows[c].to_numpy(), repeat) for c in ("id", "s1", "s2")}})
+                yield pd.DataFrame({"node": nodes.ravel().view(np.int64), **{c: np.repeat(rows[c].to_numpy(), repeat) for c in ("key", "s1", "s2")}})
 
-    return signatures.mapInPandas(walk, "node long, id long, s1 long, s2 long")
+    return signatures.select("key", "s1", "s2", "tokens").mapInPandas(walk, "node long, key long, s1 long, s2 long")
 
 
-def _deeper(large: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The children of large nodes: rows (``node``, ``id``) become rows one level down."""
+def _deeper(large: DataFrame, signatures: DataFrame, how: Plan) -> DataFrame:
+    """The children of large nodes: rows (``node``, ``key``) become rows one level down."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes = _branch(batch["node"].to_numpy().view(np.uint64)[:, None], _tokens(batch["tokens"]))
-            yield pd.DataFrame({"node": nodes.ravel().view(np.int64), **{c: np.repeat(batch[c].to_numpy(), BRANCH) for c in ("id", "s1", "s2")}})
+            nodes = _branch(batch["node"].to_numpy().view(np.uint64)[:, None], _tokens(batch["tokens"]), how.branch)
+            yield pd.DataFrame({"node": nodes.ravel().view(np.int64), **{c: np.repeat(batch[c].to_numpy(), how.branch) for c in ("key", "s1", "s2")}})
+
+    return large.join(signatures, "key").select("node", "key", "s1", "s2", "tokens").mapInPandas(walk, "node long, key long, s1 long, s2 long")
+
 
-    return large.join(signatures, "id").select("node", "id", "s1", "s2", "tokens").mapInPandas(walk, "node long, id long, s1 long, s2 long")
+def _crowded(paths: DataFrame, rows: int, most: int = HOT_ROWS) -> DataFrame | None:
+    """Nodes of more than ``most`` rows, ready to be joined; None where there is none.
+
+    Rows are first counted per bucket of nodes, of which there are few, so that counting needs next to no shuffle;
+    nodes are counted only in buckets that hold more than ``most`` rows.
+    """
+    if rows <= most:
+        return None
+    buckets = 1 << max(12, math.ceil(math.log2(64 * rows / most)))
+    bucket = F.pmod("node", F.lit(buckets)).alias("bucket")
+    full = cut_lineage(paths.groupBy(bucket).count().where(F.col("count") > most).select("bucket"))
+    many = full.count()
+    if not many:
+        return None
+    inside = paths.select("node", bucket).join(broadcast_if_small(full, many), "bucket", "left_semi")
+    nodes = cut_lineage(inside.groupBy("node").count().where(F.col("count") > most).select("node"))
+    many = nodes.count()
+    return broadcast_if_small(nodes, many) if many else None
 
 
 def _close(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +197,8 @@ def _compare(paths: DataFrame, most: int, limit: int) -> DataFrame:
     """Nodes of up to ``limit`` records compared exhaustively; rows of larger nodes handed on.
 
     Result: ``a``, ``b`` of a close pair and null ``node``, or the row ``node``, ``a`` of a large node. A task
-    reads its nodes in order and holds at most one node's ``limit`` rows beyond a batch; a larger node passes
-    through it row by row.
+    reads its nodes in order and holds at most one node's ``limit`` rows beyond a batch; a larger node, of HOT_ROWS
+    rows at most, passes through it row by row.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,9 +213,9 @@ def _compare(paths: DataFrame, most: int, limit: int) -> DataFrame:
             if passing is not None:
                 big |= node == passing
             small = rows[~big]
-            a, b = _close(*(small[c].to_numpy() for c in ("node", "id", "s1", "s2")), most)
+            a, b = _close(*(small[c].to_numpy() for c in ("node", "key", "s1", "s2")), most)
             over = rows[big]
-            return pd.DataFrame({"node": pd.array([None] * len(a) + over["node"].tolist(), dtype="Int64"), "a": np.r_[a, over["id"].to_numpy()], "b": pd.array(b.tolist() + [None] * len(over), dtype="Int64")})
+            return pd.DataFrame({"node": pd.array([None] * len(a) + over["node"].tolist(), dtype="Int64"), "a": np.r_[a, over["key"].to_numpy()], "b": pd.array(b.tolist() + [None] * len(over), dtype="Int64")})
 
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
@@ -186,24 +232,24 @@ def _compare(paths: DataFrame, most: int, limit: int) -> DataFrame:
         if held is not None:
             yield done(held)
 
-    ordered = paths.repartition("node").sortWithinPartitions("node", "id")
+    ordered = paths.repartition("node").sortWithinPartitions("node", "key")
     return ordered.mapInPandas(scan, "node long, a long, b long")
 
 
-def _blocks(large: DataFrame, sizes: DataFrame, signatures: DataFrame, most: int, limit: int) -> DataFrame:
-    """All pairs of nodes that no level made small, compared block against block so that no task holds a whole node."""
-    parts = F.ceil(F.col("size") / F.lit(limit)).cast("long")
-    rows = large.join(sizes, "node").join(signatures.select("id", "s1", "s2"), "id")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+def _blocks(large: DataFrame, signatures: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """Close pairs of nodes whose records agree in their tokens, compared block against block so that no task holds a whole node."""
+    sizes = cut_lineage(large.groupBy("node").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts")))
+    rows = large.join(broadcast_if_small(sizes, sizes.count()), "node").join(signatures.select("key", "s1", "s2"), "key")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    rows = rows.select(F.xxhash64("node", low, high).alias("node"), "id", "s1", "s2", F.when(F.col("part") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("part") < F.col("other"), 1).otherwise(2)).alias("side"))
+    rows = rows.select(F.xxhash64("node", low, high).alias("node"), "key", "s1", "s2", F.when(F.col("part") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("part") < F.col("other"), 1).otherwise(2)).alias("side"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
         def done(r: pd.DataFrame) -> pd.DataFrame:
-            a, b = _close(*(r[c].to_numpy() for c in ("node", "id", "s1", "s2")), most, r["side"].to_numpy())
+            a, b = _close(*(r[c].to_numpy() for c in ("node", "key", "s1", "s2")), most, r["side"].to_numpy())
             return pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
@@ -215,7 +261,7 @@ def _blocks(large: DataFrame, sizes: DataFrame, signatures: DataFrame, most: int
         if held is not None:
             yield done(held)
 
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInPandas(scan, "a long, b long")
+    return rows.repartition("node").sortWithinPartitions("node", "key").mapInPandas(scan, "a long, b long")
 
 
 def _depth(signatures: DataFrame, records: int, limit: int) -> int:
@@ -231,36 +277,43 @@ def _depth(signatures: DataFrame, records: int, limit: int) -> int:
 
 
 def _compared(df: DataFrame, record: str, text: str, unit: str) -> DataFrame:
+    """``id``, the compared ``text`` and its 128-bit hash ``h1``, ``h2``."""
     plain = squeeze(F.col(text)) if unit == "char" else F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-    return df.select(F.col(record).cast("long").alias("id"), plain.alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
+    rows = df.select(F.col(record).cast("long").alias("id"), plain.alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
+    return rows.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
 
 
 class NearDuplicates:
     """The similarity join over one collection; its parts are made once and shared by links(), pairs() and groups().
 
-    The records are first reduced to one representative per class of equal texts (the lowest id), combining on
-    the map side, so a third of all rows being copies costs one representative. Representatives get TOKENS
-    minwise tokens and a SKETCH-bit sketch. In each of TREES independent trees a record follows BRANCH tokens
-    per level, chosen by the node; records that choose the same tokens with the same values meet in a node. Small
-    nodes are compared exhaustively by sketch, large ones branch further, and what stays large is compared in
-    blocks. Every close pair is then verified exactly on the texts' shingle sets.
-
-    Defined cases: records with null or empty text, or without id, have no links; repeated rows count once; rows
-    of one id with different texts are represented by one of them; a text shorter than a shingle is one
+    Equal texts are first reduced to one class, combining on the map side, so a third of all rows being copies
+    costs one class. Classes get TOKENS minwise tokens and a SKETCH-bit sketch. In each independent tree a class
+    follows a few tokens per level, chosen by the node; classes that choose the same tokens with the same values meet
+    in a node. Small nodes are compared exhaustively by sketch, large ones branch further; nodes of more than
+    HOT_ROWS rows do so without being gathered. Where branching no longer makes nodes smaller, their records agree in
+    their tokens, hence are similar to one another, and each is compared with all of its node, in blocks. Every
+    close pair is then verified exactly on the texts' shingle sets. Branches, trees and the sketch's limit follow from
+    the threshold, see plan().
+
+    Defined cases: records with null or empty text, or without id, have no links; repeated rows count once; each of
+    several texts of one id is compared, and the id has the links of all; a text shorter than a shingle is one
     shingle; an empty table gives empty results; other columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, record: str, text: str, threshold: float = 0.8, width: int = 5, unit: str = "word", trees: int = TREES, limit: int = NODE) -> None:
-        if unit not in ("char", "word") or not 0 < threshold <= 1:
-            raise ValueError("unit is char or word; threshold lies in (0, 1]")
-        self.df, self.record, self.text, self.threshold, self.width, self.unit, self.trees, self.limit = df, record, text, threshold, width, unit, trees, limit
+    def __init__(self, df: DataFrame, record: str, text: str, threshold: float = 0.8, width: int = 5, unit: str = "word", trees: int | None = None, limit: int = NODE, hot_rows: int = HOT_ROWS, block: int = BLOCK) -> None:
+        if unit not in ("char", "word") or not LEAST_THRESHOLD <= threshold <= 1:
+            raise ValueError(f"unit is char or word; threshold lies in [{LEAST_THRESHOLD}, 1]")
+        self.df, self.record, self.text, self.threshold, self.width, self.unit, self.limit, self.hot_rows, self.block = df, record, text, threshold, width, unit, limit, hot_rows, block
+        how = plan(threshold)
+        self.plan = how if trees is None else Plan(how.branch, trees, how.apart)
         self._links: DataFrame | None = None
         self._members: DataFrame | None = None
-        self._signed: DataFrame | None = None
+        self._classes: DataFrame | None = None
+        self._hot: DataFrame | None = None
 
-    def signatures(self) -> DataFrame:
-        """``id``, the 128-bit hash ``h1``, ``h2`` of its compared text, its sketch ``s1``, ``s2`` and ``tokens``; one row per id."""
-        if self._signed is None:
+    def classes(self) -> DataFrame:
+        """One row per different text: ``key``, the 128-bit hash ``h1``, ``h2``, ``rep`` (the lowest id), its ``rows``, the sketch ``s1``, ``s2`` and ``tokens``."""
+        if self._classes is None:
             width, unit = self.width, self.unit
 
             def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,54 +321,72 @@ class NearDuplicates:
                     for part in range(0, len(batch), 1000):
                         yield _signatures(batch.iloc[part : part + 1000], width, unit)
 
-            rows = _compared(self.df, self.record, self.text, unit).mapInPandas(sign, "id long, h1 long, h2 long, s1 long, s2 long, tokens binary")
-            least = F.min(F.struct("h1", "h2", "s1", "s2", "tokens")).alias("s")
-            self._signed = cut_lineage(rows.groupBy("id").agg(least).select("id", "s.*"))
-        return self._signed
+            signed = _compared(self.df, self.record, self.text, unit).select("id", "h1", "h2", "text").mapInPandas(sign, "id long, h1 long, h2 long, s1 long, s2 long, tokens binary")
+            own = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
+            self._classes = cut_lineage(own.withColumn("key", F.monotonically_increasing_id()))
+            hot = self._classes.where(F.col("rows") > self.hot_rows).select("h1", "h2", "key", F.ceil(F.col("rows") / F.lit(self.hot_rows)).cast("int").alias("__parts"))
+            many = hot.count()
+            self._hot = broadcast_if_small(hot, many) if many else None
+        return self._classes
+
+    def _hot_by(self, *on: str) -> DataFrame | None:
+        self.classes()
+        return self._hot.select(*on, "__parts") if self._hot is not None else None
+
+    def _of_members(self, stats: DataFrame, how: str = "inner") -> DataFrame:
+        """``stats`` by ``key`` joined to the members; a class of many copies is spread."""
+        hot = self._hot_by("key")
+        return salted(self.members(), hot, ["key"], "id").join(repeated(stats, hot, ["key"]), ["key", "__salt"], how).drop("__salt")
 
     def members(self) -> DataFrame:
-        """``id`` and ``rep``: each record's class representative, the lowest id among equal texts."""
+        """``id``, ``key`` and ``rep``: the class of each record, or the classes where a record has several texts, and the class's lowest id."""
         if self._members is None:
-            own = self.signatures().select("id", "h1", "h2")
-            twins = own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-            self._members = cut_lineage(own.join(twins, ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep")))
+            known, hot = self.classes().select("h1", "h2", "key", "rep"), self._hot_by("h1", "h2")
+            own = salted(_compared(self.df, self.record, self.text, self.unit).select("id", "h1", "h2"), hot, ["h1", "h2"], "id")
+            self._members = cut_lineage(own.join(repeated(known, hot, ["h1", "h2"]), ["h1", "h2", "__salt"]).select("id", "key", "rep").distinct())
         return self._members
 
     def candidates(self) -> DataFrame:
-        """Close pairs of representatives by sketch: ``a`` < ``b``."""
-        reps = self.members().where("id = rep").select("id")
-        signatures = self.signatures().select("id", "s1", "s2", "tokens").join(reps, "id", "left_semi")
-        records = reps.count()
-        # Sketch bits of a pair of similarity j agree with probability (1 + j) / 2.
-        most = math.floor(SKETCH * (1 - max(0.0, self.threshold - SLACK)) / 2)
+        """Close pairs of classes by sketch: ``a`` < ``b``, by key."""
+        signatures = self.classes().select("key", "s1", "s2", "tokens")
+        records = signatures.count()
         depth = _depth(signatures, records, self.limit)
-        found = []
-        paths = _paths(signatures, depth, self.trees)
-        for level in range(LEVELS + 1):
-            scanned = cut_lineage(_compare(paths, most, self.limit))
+        found, before = [], None
+        paths, rows = _paths(signatures, depth, self.plan), records * self.plan.trees * self.plan.branch**depth
+        while True:
+            crowded = _crowded(paths, rows, self.hot_rows)
+            calm = paths if crowded is None else paths.join(crowded, "node", "left_anti")
+            scanned = cut_lineage(_compare(calm, self.plan.apart, self.limit))
             found.append(scanned.where("node is null").select("a", "b"))
-            large = scanned.where("node is not null").select("node", F.col("a").alias("id"))
-            if large.isEmpty():
+            large = scanned.where("node is not null").select("node", F.col("a").alias("key"))
+            if crowded is not None:
+                large = cut_lineage(large.union(paths.join(crowded, "node", "left_semi").select("node", "key")))
+            left = large.count()
+            if not left:
                 break
-            if level == LEVELS:
-                sizes = large.groupBy("node").agg(F.count("*").alias("size"))
-                found.append(_blocks(large, sizes, signatures, most, self.limit))
-            else:
-                paths = _deeper(large, signatures)
+            if before is not None and left > SHRINKS * before:
+                found.append(_blocks(large, signatures, self.plan.apart, self.block))
+                break
+            before, rows = left, left * self.plan.branch
+            paths = _deeper(large, signatures, self.plan)
         every = found[0]
         for more in found[1:]:
             every = every.union(more)
         return every.distinct()
 
     def links(self) -> DataFrame:
-        """Verified pairs of representatives: ``a`` < ``b`` and their exact ``similarity``, at least the threshold."""
+        """Verified pairs of classes: keys ``a`` < ``b`` and their exact ``similarity``, at least the threshold."""
         if self._links is None:
             pairs = cut_lineage(self.candidates())
             n = pairs.count()
-            involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            texts = _compared(self.df, self.record, self.text, self.unit).join(broadcast_if_small(involved, 2 * n), "id", "left_semi")
-            texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-            both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+            involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            wanted = self.classes().select("key", "h1", "h2", F.col("rep").alias("id")).join(broadcast_if_small(involved, 2 * n), "key", "left_semi")
+            texts = _compared(self.df, self.record, self.text, self.unit).join(broadcast_if_small(wanted, 2 * n), ["id", "h1", "h2"])
+            texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+            both = pairs
+            for side, other in ("a", "b"), ("b", "a"):
+                own = texts.withColumnsRenamed({"key": side, "text": f"t{side}"})
+                both = spread_join(both, own, [side], other, most=self.hot_rows) if n > self.hot_rows else both.join(own, side)
             width, unit, threshold = self.width, self.unit, self.threshold
 
             def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,21 +398,30 @@ class NearDuplicates:
         return self._links
 
     def pairs(self) -> DataFrame:
-        """All similar pairs of records, copies expanded: ``id_a`` < ``id_b``. Its size is that of the result asked for."""
-        members = self.members()
-        left, right = members.withColumnsRenamed({"id": "x", "rep": "a"}), members.withColumnsRenamed({"id": "y", "rep": "b"})
-        across = self.links().select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-        crowded = members.groupBy("rep").count().where("count > 1").select("rep")
-        copies = members.join(crowded, "rep", "left_semi")
-        equal = copies.withColumnRenamed("id", "x").join(copies.withColumnRenamed("id", "y"), "rep").where("x < y").select("x", "y")
-        return across.union(equal).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        """All similar pairs of records, copies expanded: ``id_a`` < ``id_b``. Its size is that of the result asked for; a class of many copies is paired in blocks."""
+        members = self.members().select("id", "key")
+        left = self._of_members(self.links().select(F.col("a").alias("key"), "b")).select(F.col("id").alias("x"), F.col("b").alias("key"))
+        across = self._of_members(left).select("x", F.col("id").alias("y"))
+        copies = members.join(self.classes().where("rows > 1").select("key"), "key", "left_semi")
+        equal = spread_join(copies.withColumnRenamed("id", "x"), copies.withColumnRenamed("id", "y"), ["key"], "x", most=self.block).select("x", "y")
+        both = across.union(equal).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        return both.distinct()
 
     def groups(self) -> DataFrame:
-        """One row per record with text: ``id``, ``rep`` (its class of equal texts), ``group`` (lowest id of its connected group), ``links`` of its class to other classes."""
-        links = self.links()
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-        label = components(links)
-        return self.members().join(label.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").join(degree, "rep", "left").select("id", "rep", F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+        """One row per record with text: ``id``, ``rep`` (lowest id with an equal text), ``group`` (lowest id of its connected group), ``links`` of its classes to other classes.
+
+        Texts of one id count as connected.
+        """
+        links = self.links().select("a", "b")
+        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+        several = self.members().groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z")
+        versions = spread_join(self.members(), several, ["id"], "key", most=self.hot_rows).select("a", F.col("key").alias("b"))
+        label = components(links.union(versions), hot_rows=self.hot_rows)
+        own = self.classes().select("key", "rep").join(label.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
+        own = own.select("key", "rep", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        lowest = own.groupBy("label").agg(F.min("rep").alias("group"))
+        known = spread_join(own, lowest, ["label"], "key", most=self.hot_rows).select("key", "group", "links")
+        return self._of_members(known).groupBy("id").agg(F.min("rep").alias("rep"), F.min("group").alias("group"), F.sum("links").alias("links"))
 
 
 def jaccard(a: str, b: str, width: int, unit: str) -> float:
@@ -358,19 +438,23 @@ def shingle_set(text: str, width: int, unit: str) -> set:
     return {parts[i : i + width] for i in range(max(1, len(parts) - width + 1))}
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(links: DataFrame, left: str = "a", right: str = "b", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Connected components of links: ``node`` and ``label``, the lowest node of its component.
 
     Alternating large-star and small-star steps, each a shuffle with map-side minima; the edges shrink towards
-    stars in a number of rounds that grows with the logarithm of the component size. Nothing is collected.
+    stars in a number of rounds that grows with the logarithm of the component size. Nothing is collected, and a hub
+    with more than ``hot_rows`` edges is spread over several tasks.
     """
+
+    def with_least(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("u").agg(F.min("v").alias("m"))
+        return spread_join(rows, least, ["u"], "v", most=hot_rows)
+
     edges = cut_lineage(links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = with_least(both).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = with_least(large)
         after = cut_lineage(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             break

@@ -134,6 +134,22 @@ def _leaders_sql() -> str:
     return f"SELECT qid, idx FROM (SELECT *, {places} FROM (SELECT qid, idx, {clean} FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL GROUP BY qid, idx)) WHERE {test}"
 
 
+def _rank_sql() -> str:
+    clean = ", ".join(f"max({_CLEAN.format(s)}) AS {s}" for s in SCORES)
+    number = ", ".join(f"row_number() OVER (PARTITION BY qid ORDER BY {s} NULLS LAST) AS r_{s}, count({s}) OVER (PARTITION BY qid) AS c_{s}" for s in SCORES)
+    limits = ", ".join(f"max({s}) FILTER (r_{s} = greatest(1, ceil(CAST({share} AS DOUBLE) * c_{s}))) AS {end}_{s}" for s in SCORES for end, share in (("lo", ideal_rank.TAIL), ("hi", 1 - ideal_rank.TAIL)))
+    cut = ", ".join(f"coalesce(CASE WHEN {s} IS NOT NULL THEN least(greatest({s}, lo_{s}), hi_{s}) - lo_{s} END, 0) AS w_{s}" for s in SCORES)
+    norms = ", ".join(f"sqrt(sum(w_{s} * w_{s}) OVER (PARTITION BY qid)) AS n_{s}, max(w_{s}) OVER (PARTITION BY qid) AS m_{s}" for s in SCORES)
+    part = lambda here, s: f"pow(CASE WHEN n_{s} > 0 THEN ({here}) / n_{s} ELSE 0 END / {len(SCORES)}, 2)"
+    up, down = (f"sqrt({' + '.join(part(here.format(s), s) for s in SCORES)})" for here in ("m_{0} - w_{0}", "w_{0}"))
+    return f"""WITH items AS (SELECT qid, idx, {clean} FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL GROUP BY qid, idx),
+placed AS (SELECT *, {number} FROM items), limits AS (SELECT qid, {limits} FROM placed GROUP BY qid),
+cut AS (SELECT i.qid, i.idx, {cut} FROM items i JOIN limits USING (qid)), scaled AS (SELECT *, {norms} FROM cut),
+apart AS (SELECT qid, idx, {up} AS up, {down} AS down FROM scaled),
+near AS (SELECT qid, idx, round(CASE WHEN up + down > 0 THEN down / (up + down) ELSE 0.5 END, 9) AS closeness FROM apart)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY closeness DESC, idx) AS rank FROM near"""
+
+
 def _terms_sql(tail: str) -> str:
     text = _folded("coalesce(text, '')")
     return f"""WITH c AS (SELECT DISTINCT idx, {text} AS t, regexp_replace({_folded("section")}, '[\\s　]+', '', 'g') AS s FROM chunks WHERE idx IS NOT NULL),
@@ -154,17 +170,40 @@ def oracle_sql() -> dict[str, str]:
         return f"regexp_replace({_folded(text)}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
     grams = "unnest(list_transform(range(1, greatest(length(t) - 38, 1)), lambda i: substr(t, i, 40)))"
+    placed = "generate_subscripts({0}, 1) AS p, unnest({0}) AS g".format("list_transform(range(1, greatest(length(t) - 38, 1)), lambda i: substr(t, i, 40))")
+    # The passages, their different five-character stretches, and the shared ones of every pair that has any.
+    near = """t AS (SELECT DISTINCT idx, regexp_replace(text, '[\\s　]+', '', 'g') AS t FROM chunks WHERE type = 'text' AND idx IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT idx, unnest(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) AS g FROM t WHERE t <> ''),
+n AS (SELECT idx, count(*) AS n FROM g GROUP BY idx),
+s AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.idx < b.idx GROUP BY 1, 2),
+found AS (SELECT idx_a, idx_b FROM s JOIN n a ON a.idx = idx_a JOIN n b ON b.idx = idx_b WHERE s >= 0.7 * (a.n + b.n - s))"""
+    repeated = f"""p AS (SELECT key, page, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM report_pages WHERE key IS NOT NULL AND page IS NOT NULL), c AS (SELECT key, {line} AS line, count(DISTINCT page) AS docs FROM p GROUP BY 1, 2), n AS (SELECT key, count(DISTINCT page) AS pages FROM report_pages GROUP BY key HAVING count(DISTINCT page) >= 5),
+repeated AS (SELECT key, line FROM c JOIN n USING (key) WHERE line <> '' AND NOT starts_with(line, '|') AND NOT starts_with(line, '[') AND docs > 0.3 * pages)"""
     return {
         "p1_found": _leaders_sql(),
         "p2_found": "SELECT DISTINCT idx FROM chunks WHERE idx IS NOT NULL AND length(text) > 1100",
-        "p3_found": """WITH t AS (SELECT DISTINCT idx, regexp_replace(text, '[\\s　]+', '', 'g') AS t FROM chunks WHERE type = 'text' AND idx IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT idx, unnest(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) AS g FROM t WHERE t <> ''),
-n AS (SELECT idx, count(*) AS n FROM g GROUP BY idx),
-s AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.idx < b.idx GROUP BY 1, 2)
-SELECT idx_a, idx_b FROM s JOIN n a ON a.idx = idx_a JOIN n b ON b.idx = idx_b WHERE s >= 0.7 * (a.n + b.n - s)""",
+        "p1_rank": _rank_sql(),
+        "p3_found": f"WITH {near} SELECT * FROM found",
+        "p3_groups": f"""WITH RECURSIVE {near},
+class AS (SELECT idx, min(idx) OVER (PARTITION BY t) AS rep FROM t WHERE t <> ''),
+link AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM found JOIN class a ON a.idx = idx_a JOIN class b ON b.idx = idx_b WHERE a.rep <> b.rep),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT rep AS a, rep AS b FROM class UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT idx, rep, (SELECT min(b) FROM reach WHERE a = rep) AS "group", (SELECT count(*) FROM edge WHERE a = rep) AS links FROM class""",
         "p4_found": f"SELECT qid, code, idx FROM (SELECT qid, lpad(regexp_extract(code, '[0-9]+'), 6, '0') AS code, idx, max({_CLEAN.format('score')}) AS score FROM retrieved WHERE qid IS NOT NULL AND idx IS NOT NULL AND regexp_matches(code, '[0-9]') GROUP BY ALL) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid, code ORDER BY score DESC, idx) <= 3",
-        "p6_found": f"WITH p AS (SELECT key, page, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM report_pages), c AS (SELECT key, {line} AS line, count(DISTINCT page) AS docs FROM p GROUP BY 1, 2), n AS (SELECT key, count(DISTINCT page) AS pages FROM report_pages GROUP BY key HAVING count(DISTINCT page) >= 5) SELECT key, line FROM c JOIN n USING (key) WHERE line <> '' AND NOT starts_with(line, '|') AND NOT starts_with(line, '[') AND docs > 0.3 * pages",
+        "p6_found": f"WITH {repeated} SELECT key, line FROM repeated",
+        "p6_clean": f"""WITH {repeated}, marks AS (SELECT key, list(line) AS marks FROM repeated GROUP BY key),
+d AS (SELECT DISTINCT r.key, CAST(page AS BIGINT) AS page, text, string_split(text, chr(10)) AS l, CASE WHEN page IS NOT NULL THEN coalesce(marks, []) ELSE [] END AS marks FROM report_pages r LEFT JOIN marks m ON m.key = r.key),
+k AS (SELECT *, list_filter(l, lambda l: NOT list_contains(marks, {line})) AS kept FROM d)
+SELECT key, page, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text, CAST(coalesce(len(l) - len(kept), 0) AS INTEGER) AS removed FROM k""",
         "p7_found": _terms_sql("SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"),
         "p7_counts": _terms_sql("SELECT * FROM marked"),
         "p8_found": f"WITH d AS (SELECT DISTINCT doc_id, {plain('text')} AS t FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items), x AS (SELECT doc_id, {grams} AS g FROM d WHERE length(t) >= 40), y AS (SELECT DISTINCT item_id, {grams} AS g FROM e WHERE length(t) >= 40) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)",
+        # A shared span is a run of neighbouring stretches at the same distance in both texts.
+        "p8_report": f"""WITH d AS (SELECT DISTINCT doc_id, {plain('text')} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items),
+x AS (SELECT doc_id, hash(t) AS h, {placed} FROM d WHERE length(t) >= 40), y AS (SELECT item_id, hash(t) AS k, {placed} FROM e WHERE length(t) >= 40),
+m AS (SELECT doc_id, h, item_id, k, x.p - y.p AS apart, x.p FROM x JOIN y USING (g)),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, h, item_id, k, apart ORDER BY p) AS run FROM m),
+spans AS (SELECT doc_id, item_id, count(*) + 39 AS chars FROM runs GROUP BY doc_id, h, item_id, k, apart, run)
+SELECT item_id, count(DISTINCT doc_id) AS docs, max(chars) AS longest FROM spans GROUP BY item_id""",
     }

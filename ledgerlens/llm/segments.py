@@ -45,14 +45,16 @@ def cohesion(text: str, places: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 def depths(similarity: np.ndarray) -> np.ndarray:
-    """Depth of each valley: how far the similarity climbs on the way to the nearest peak on the left plus on the right."""
-    n = len(similarity)
+    """Depth of each valley: how far the similarity climbs to the nearest peak on the left plus on the right.
+
+    A climb goes on while the next value is not lower and ends where it falls.
+    """
     left, right = similarity.copy(), similarity.copy()
-    for k in range(1, n):
-        if left[k - 1] >= similarity[k]:
+    for k in range(1, len(similarity)):
+        if similarity[k - 1] >= similarity[k]:
             left[k] = left[k - 1]
-    for k in range(n - 2, -1, -1):
-        if right[k + 1] >= similarity[k]:
+    for k in range(len(similarity) - 2, -1, -1):
+        if similarity[k + 1] >= similarity[k]:
             right[k] = right[k + 1]
     return left + right - 2 * similarity
 
@@ -62,7 +64,8 @@ def split_text(text: str, most: int = 1100, overlap: tuple[int, int] = (80, 150)
 
     A piece after the first opens with the last ``overlap`` characters of the one before, from a sentence or
     clause start where there is one in that range. The end of each piece is the deepest cohesion valley among
-    the strongest boundaries in its size window; where the window holds no boundary at all, the piece is full.
+    the strongest boundaries in its size window; where the window holds no boundary at all, the piece is full. The
+    window also ends early enough to leave the last piece a fair share of new text.
     """
     low, high = overlap
     if not 0 <= low <= high < most * LEAST_SHARE:
@@ -76,8 +79,9 @@ def split_text(text: str, most: int = 1100, overlap: tuple[int, int] = (80, 150)
     weak = [levels[2], levels[3]]
     starts = np.union1d(natural, levels[2])
     pieces, start = [], 0
+    least = max(high + 1, int(most * LEAST_SHARE))
     while n - start > most:
-        first, last = start + max(high + 1, int(most * LEAST_SHARE)), start + most
+        first, last = start + least, min(start + most, n - (least - high))
         a, b = np.searchsorted(natural, [first, last + 1])
         if a < b:
             best = deep[a:b]

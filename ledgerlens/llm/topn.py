@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Local survivors that a task holds before it hands them on; beyond it the task starts afresh, as if its partition ended.
-HELD_ROWS = 500_000
+from ledgerlens.runtime import broadcast_if_small, cut_lineage
 
 
 def clean_score(score: Column) -> Column:
@@ -21,24 +20,41 @@ def clean_score(score: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _prune(rows: pd.DataFrame, groups: list[str], item: str, n: int) -> pd.DataFrame:
-    """The ``n`` best different items of each group, with the group's bound: its n-th best score, if it has one."""
-    rows = rows.sort_values(["score", item], ascending=[False, True], kind="stable")
-    rows = rows.drop_duplicates([*groups, item], keep="first")
-    place = rows.groupby(groups, sort=False, dropna=False).cumcount()
-    rows = rows[place < n].assign(place=place)
-    full = rows.loc[rows["place"] == n - 1, [*groups, "score"]].rename(columns={"score": "bound"})
-    return rows.drop(columns=["place", "bound"], errors="ignore").merge(full, on=groups, how="left")
+def _local(narrow: DataFrame, groups: list[str], item: str, n: int) -> DataFrame:
+    """The ``n`` best different items of each group in each task, with their ``place`` in the task from 1.
 
+    The JVM sorts each task's rows, so they stream by, group after group; beyond a batch only the open group's best
+    ``n`` are held.
+    """
+    schema = T.StructType([*narrow.schema.fields, T.StructField("place", T.IntegerType())])
 
-def top_n(df: DataFrame, groups: list[str], item: str, score: str, n: int = 3, held_rows: int = HELD_ROWS) -> DataFrame:
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_rows: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            old = 0 if open_rows is None else len(open_rows)
+            rows = (batch if open_rows is None else pd.concat([open_rows, batch])).reset_index(drop=True)
+            fresh = np.arange(len(rows)) >= old
+            rows = rows.assign(fresh=fresh).drop_duplicates([*groups, item], keep="first")
+            number = rows.groupby(groups, sort=False, dropna=False).ngroup().to_numpy()
+            place = rows.groupby(groups, sort=False, dropna=False).cumcount().to_numpy()
+            keep = place < n
+            yield rows[keep & rows["fresh"].to_numpy()].drop(columns="fresh").assign(place=place[keep & rows["fresh"].to_numpy()] + 1)
+            open_rows = rows[keep & (number == number[-1])].drop(columns="fresh")
+
+    ordered = narrow.sortWithinPartitions(*groups, F.col("score").desc(), F.col(item))
+    return ordered.mapInPandas(best, schema)
+
+
+def top_n(df: DataFrame, groups: list[str], item: str, score: str, n: int = 3) -> DataFrame:
     """The ``n`` highest-scoring items of each group: ``groups``, ``item``, ``score`` and ``rank`` from 1.
 
     Every task finds, in its own partition, each group's N-th best score. N items reach it, so no item below it
     can be among the group's N best: a valid lower bound. Tasks hand on only the rows that reach their own
-    bounds, at most N per group; the highest bound of a group, taken over the same exchange that the final rank
-    uses, then removes more rows, and the survivors are ranked. A group with a third of all rows thus sends N
-    rows per task, never its bulk.
+    bounds, at most N per group. The highest bound of every group that still has more than N rows is joined to
+    them, before they are exchanged where the counted bounds are few enough to be broadcast; rows below it go, and
+    the survivors are ranked. A group with a third of all rows thus sends N rows per task, never its bulk.
 
     Defined cases: null and NaN scores take no part; null items take no part; null group values form a group of
     their own; repeated rows of an item count once, with the item's highest score; equal scores are ordered by
@@ -46,32 +62,17 @@ def top_n(df: DataFrame, groups: list[str], item: str, score: str, n: int = 3, h
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    item_type = df.schema[item].dataType
     narrow = df.select(*groups, F.col(item), clean_score(F.col(score)).alias("score")).where(F.col("score").isNotNull() & F.col(item).isNotNull())
-    schema = T.StructType([*(T.StructField(g, narrow.schema[g].dataType) for g in groups), T.StructField(item, item_type), T.StructField("score", T.DoubleType()), T.StructField("bound", T.DoubleType())])
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            held = _prune(batch if held is None else pd.concat([held.drop(columns="bound"), batch], ignore_index=True), groups, item, n)
-            if len(held) > held_rows:
-                yield held
-                held = None
-        if held is not None:
-            yield held
-
-    survivors = narrow.mapInPandas(local, schema).repartition(*groups)
-    bounded = survivors.withColumn("bound", F.max("bound").over(W.partitionBy(*groups))).where(F.col("bound").isNull() | (F.col("score") >= F.col("bound")))
-    items = bounded.groupBy(*groups, item).agg(F.max("score").alias("score"))
+    local = cut_lineage(_local(narrow, groups, item, n))
+    crowded = local.groupBy(*groups).agg(F.count("*").alias("__rows"), F.max(F.when(F.col("place") == n, F.col("score"))).alias("__bound"))
+    bounds = cut_lineage(crowded.where((F.col("__rows") > n) & F.col("__bound").isNotNull()).drop("__rows"))
+    bounded = local.join(broadcast_if_small(bounds, bounds.count()), groups, "left")
+    survivors = bounded.where(F.col("__bound").isNull() | (F.col("score") >= F.col("__bound"))).select(*groups, item, "score")
+    items = survivors.repartition(*groups).groupBy(*groups, item).agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy(*groups).orderBy(F.col("score").desc(), F.col(item)))
     return items.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def nth_score(df: DataFrame, groups: list[str], item: str, score: str, n: int) -> DataFrame:
-    """Each group's n-th highest score over different items (its lowest, if it has fewer than ``n``): ``groups``, ``least``."""
-    return top_n(df, groups, item, score, n).groupBy(*groups).agg(F.min("score").alias("least"))
-
-
 def brute_top_n(rows: list[tuple], n: int) -> set[tuple]:
     """The plain version for tests: rows are (group, item, score); the result is (group, item, score)."""
     best: dict = {}

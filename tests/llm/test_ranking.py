@@ -4,6 +4,7 @@ import random
 import pytest
 
 from ledgerlens.llm import ideal_rank, topn
+from ledgerlens.plans.ranking import group_quantiles
 from tests.conftest import rows
 
 NAN = float("nan")
@@ -27,7 +28,11 @@ SCHEMA = "qid string, idx bigint, bm25 double, cos double, score double"
 def test_top_n_against_a_plain_version(spark, n, parts):
     data = scored(1)
     df = spark.createDataFrame(data, SCHEMA).repartition(parts)
-    got = {tuple(r) for r in topn.top_n(df, ["qid"], "idx", "bm25", n, held_rows=20).select("qid", "idx", "score").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = {tuple(r) for r in topn.top_n(df, ["qid"], "idx", "bm25", n).select("qid", "idx", "score").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == topn.brute_top_n([(g, i, b) for g, i, b, _, _ in data], n)
 
 
@@ -71,6 +76,19 @@ def test_joint_ranking_against_a_plain_version(spark):
         assert [got[g, i][1] for i in order] == list(range(1, len(items) + 1))
 
 
+def test_large_groups_spread_over_parts_rank_the_same(spark):
+    df = spark.createDataFrame(scored(4), SCHEMA)
+    one = rows(ideal_rank.closeness(df, "qid", "idx", ["bm25", "cos", "score"]).select("qid", "idx", "closeness"))
+    assert rows(ideal_rank.closeness(df, "qid", "idx", ["bm25", "cos", "score"], hot_rows=20).select("qid", "idx", "closeness")) == one
+
+
+def test_limits_are_exact_in_large_groups(spark):
+    """Beyond 10,000 items, with a long run of equal values, the limits are still the values at their ranks."""
+    df = spark.range(30_000).selectExpr("'g' as q", "id as i", "cast(if(id < 590, id, if(id < 20000, 590, id)) as double) as s").repartition(9)
+    found = {r["share_no"]: r["s"] for r in group_quantiles(df, ["q"], "s", "i", [0.02, 0.5, 0.98, 0.0, 1.0]).collect()}
+    assert found == {0: 590.0, 1: 590.0, 2: 29_399.0, 3: 0.0, 4: 29_999.0}
+
+
 def test_no_score_dominates_by_its_range(spark):
     data = [("q", i, 1e9 * i, 1.0 - i / 10) for i in range(10)]
     df = spark.createDataFrame(data, "q string, i bigint, big double, small double")
