@@ -1,9 +1,8 @@
-"""Page text made into chunks: table segments, boilerplate, page numbers, headings, captions and the chunker."""
+"""Page text made into chunks: table segments, boilerplate, page numbers, headings, captions and chunks."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens.functions.vocabulary import LEAST, MOST, PAGE_SHARE, SHORT_LINE, TARGET
-from ledgerlens.runtime import salted_join
+from ledgerlens.runtime import cut_lineage, salted_join
 
 # The marks around tables in page text, and the forms of headings and page numbers.
 OPEN, CLOSE = "[表格开始]", "[表格结束]"
@@ -105,129 +104,105 @@ def collapse_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\n{3,}", "\n\n")
 
 
-class _Chunker:
-    """The chunk state of one report: what is buffered, under which headings."""
-
-    section_form, subsection_form = re.compile(SECTION), re.compile(SUBSECTION)
-
-    def __init__(self, key: str) -> None:
-        self.key, self.made = key, []
-        self.section = self.subsection = ""
-        self.lines: list[str] = []
-        self.pages: list[int] = []
-        self.recent: list[str] = []
-
-    @property
-    def size(self) -> int:
-        return sum(map(len, self.lines))
-
-    def emit(self, kind: str, first: int, last: int, text: str, rows: int | None = None, caption: str | None = None) -> None:
-        number = len(self.made) + 1
-        self.made.append((f"{self.key}#{number:04d}", self.key, self.section, self.subsection, first, last, kind, rows, caption, text, len(text)))
-
-    def clear(self) -> None:
-        self.lines, self.pages = [], []
-
-    def close(self) -> str | None:
-        """Emit what is buffered as one text chunk; its last line is returned."""
-        body = "\n".join(self.lines).strip()
-        if not body:
-            return None
-        last = self.lines[-1]
-        self.emit("text", self.pages[0], self.pages[-1], body)
-        self.clear()
-        return last
-
-    def table(self, page: int, content: str) -> None:
-        """A table takes in a short lead-in; a long one, or one of 200 to 219 characters, becomes a chunk before it."""
-        size, lead = self.size, ""
-        if 0 < size < 200:
-            lead = "\n".join(self.lines).strip()
-            self.clear()
-        elif size:
-            self.close()
-        caption = next((s for x in reversed(self.recent[-4:]) if 3 <= len(s := x.strip()) <= 40 and s[-1] not in "。，；"), "")
-        self.emit("table", page, page, f"{lead}\n{content}" if lead else content, content.count("\n") + 1, caption)
-
-    def heading(self, title: str) -> None:
-        """A section starts: enough buffered text becomes a chunk, less is dropped."""
-        if self.size >= LEAST:
-            self.close()
-        self.clear()
-        self.section, self.subsection, self.recent = title, "", [title]
-
-    def line(self, page: int, text: str) -> None:
-        """A line is a subsection heading or joins the buffer; a full buffer is closed and its short last line kept on."""
-        if len(text) < 50 and self.subsection_form.match(text):
-            if self.size >= LEAST:
-                self.close()
-            self.subsection = text
-            self.recent.append(text)
-            return
-        self.lines.append(text)
-        self.pages.append(page)
-        self.recent.append(text)
-        if self.size >= MOST:
-            last = self.close()
-            if last and len(last) < 300:
-                self.lines, self.pages = [last], [page]
-
-
-def chunk_stream(key: str, stream: list[tuple[str, int, str]]) -> list[tuple]:
-    """Chunks of one report from its stream of (``line``, ``blank`` or ``table``; page; content)."""
-    state, taken = _Chunker(key), -1
-    for at, (kind, page, content) in enumerate(stream):
-        if at == taken:
-            continue
-        if kind == "blank":
-            if state.size >= TARGET:
-                state.close()
-        elif kind == "table":
-            state.table(page, content)
-        elif len(content) <= 60 and (form := state.section_form.match(content)):
-            title = content
-            if len(content[form.end() :].strip()) < 2:
-                ahead = next((k for k in range(at + 1, len(stream)) if stream[k][0] != "blank"), None)
-                if ahead is not None and stream[ahead][0] == "line" and len(stream[ahead][2]) < 40:
-                    title, taken = f"{content} {stream[ahead][2]}", ahead
-            state.heading(title)
-        else:
-            state.line(page, content)
-    if state.size >= 120:
-        state.close()
-    return state.made
+# For each event of a report, the buffered characters from which the buffer becomes a chunk there, and what becomes of a smaller buffer.
+STEPS = {"line": (MOST, "stays"), "blank": (TARGET, "stays"), "sub": (LEAST, "stays"), "section": (LEAST, "goes"), "table": (200, "leads"), "end": (120, "goes")}
+# Fixed value: a line shorter than this that fills the buffer also opens the next one.
+CARRIED = 300
+
+
+def report_events(pages: DataFrame) -> DataFrame:
+    """Reports as ordered events: ``key``, ``pos`` from 1, ``page``, ``kind``, ``content``, and at each event the ``section`` and ``subsection`` in force before it and a table's ``caption``.
+
+    Kinds are ``line``, ``blank``, ``table``, ``section``, ``sub`` (a subsection heading) and one ``end`` per report.
+    Boilerplate and page numbers are no events. A section heading alone on its line takes in the next event that is
+    not blank if that is a line of under 40 characters. Everything is found by windows over one report, a
+    bounded document.
+    """
+    size = F.char_length("content")
+    pieces = F.when(F.col("kind") == "table", F.array("content")).otherwise(F.split("content", "\n"))
+    flat = segments(pages).select("key", "page", "seq", "kind", F.posexplode(pieces).alias("at", "raw"))
+    read = flat.select("key", "page", "seq", "at", F.when(F.col("kind") == "table", F.col("raw")).otherwise(F.regexp_replace("raw", _STRIP, "")).alias("content"), "kind")
+    read = read.withColumn("kind", F.when(F.col("kind") == "table", "table").when(F.col("content") == "", "blank").otherwise("line"))
+    noise = boilerplate(pages).select("key", F.col("line").alias("content"), F.lit(True).alias("noise"))
+    kept = read.join(noise, ["key", "content"], "left").where((F.col("kind") != "line") | (F.col("noise").isNull() & ~is_page_number(F.col("content"), F.col("page")))).drop("noise")
+    order = W.partitionBy("key").orderBy("page", "seq", "at")
+
+    heading = (F.col("kind") == "line") & (size <= 60) & F.col("content").rlike(SECTION)
+    alone = F.char_length(F.regexp_replace(F.regexp_replace("content", SECTION, ""), _STRIP, "")) < 2
+    after = F.lead(F.when(F.col("kind") == "line", F.col("content"))).over(order)
+    solid = kept.where("kind <> 'blank'").withColumn("heading", heading).withColumn("after", after)
+    solid = solid.withColumn("takes", F.coalesce(F.col("heading") & alone & (F.char_length("after") < 40), F.lit(False)))
+    # In a row of headings that would each take in the next, every second one is taken in and takes nothing itself.
+    solid = solid.withColumn("run", F.sum((~F.col("takes")).cast("int")).over(order))
+    place = F.sum(F.col("takes").cast("int")).over(W.partitionBy("key", "run").orderBy("page", "seq", "at"))
+    solid = solid.withColumn("takes", F.col("takes") & (place % 2 == 1))
+    solid = solid.withColumn("taken", F.coalesce(F.lag("takes").over(order), F.lit(False))).where(~F.col("taken"))
+    kind = F.when(F.col("heading"), "section").when((F.col("kind") == "line") & (size < 50) & F.col("content").rlike(SUBSECTION), "sub").otherwise(F.col("kind"))
+    solid = solid.select("key", "page", "seq", "at", F.when(F.col("takes"), F.concat_ws(" ", "content", "after")).otherwise(F.col("content")).alias("content"), kind.alias("kind"))
+    ends = pages.groupBy("key").agg(F.max("page").alias("page")).select("key", "page", F.lit(2**31 - 1).alias("seq"), F.lit(0).alias("at"), F.lit("").alias("content"), F.lit("end").alias("kind"))
+    events = solid.unionByName(kept.where("kind = 'blank'").select(*solid.columns)).unionByName(ends)
+
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    headed = events.withColumn("pos", F.row_number().over(order)).withColumn("section_no", F.count(F.when(F.col("kind") == "section", 1)).over(so_far))
+    inside = W.partitionBy("key", "section_no").orderBy("page", "seq", "at").rowsBetween(W.unboundedPreceding, 0)
+    told = F.col("kind").isin("section", "sub", "line")
+    headed = headed.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("content")), ignorenulls=True).over(so_far))
+    headed = headed.withColumn("subsection", F.last(F.when(F.col("kind") == "sub", F.col("content")), ignorenulls=True).over(inside)).withColumn("no", F.count(F.when(told, 1)).over(inside))
+    fits = told & size.between(3, 40) & ~F.col("content").rlike("[。，；]$")
+    headed = headed.withColumn("title", F.last(F.when(fits, F.struct("no", "content")), ignorenulls=True).over(inside))
+    caption = F.when(F.col("kind") == "table", F.when(F.col("title.no") > F.col("no") - 4, F.col("title.content")).otherwise(""))
+    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit("")).alias(c)
+    return headed.select("key", "pos", "page", "kind", "content", before("section"), before("subsection"), caption.alias("caption"))
+
+
+def packed(kinds: list[str], sizes: list[int]) -> list[tuple[int, int, int]]:
+    """Chunk number from 1, the event that ends the chunk, and each event whose content it holds; events are numbered from 0.
+
+    Only sizes matter: the buffer is filled by lines, and every event is a step of STEPS for it.
+    """
+    out: list[tuple[int, int, int]] = []
+    held: list[int] = []
+    number = total = 0
+    for at, (kind, size) in enumerate(zip(kinds, sizes, strict=True)):
+        if kind == "line":
+            held, total = [*held, at], total + size
+        enough, otherwise = STEPS[kind]
+        full = total >= enough
+        if full:
+            number += 1
+            out += [(number, at, k) for k in held]
+        if kind == "table":
+            number += 1
+            out += [(number, at, k) for k in ([] if full else held) + [at]]
+        carried = full and kind == "line" and size < CARRIED
+        if carried:
+            held, total = [at], size
+        elif full or otherwise != "stays":
+            held, total = [], 0
+    return out
 
 
 def chunk_reports(pages: DataFrame) -> DataFrame:
     """Chunks of each report: ``id``, ``key``, ``section``, ``subsection``, ``page_start``, ``page_end``, ``type``, ``table_rows``, ``table_caption``, ``text``, ``n_chars``.
 
-    Where a chunk ends depends on all that came before it in the report, so one report is one group; a report is
-    a bounded document. Boilerplate is found over the cluster first and joined in as a flag, and the stream is
-    built from ordered pages inside the group.
+    Headings, captions and labels are found by windows, see report_events(). Where a chunk ends depends on all sizes
+    before it in the report, so the sizes of one report, and nothing else, are folded as a group; the contents
+    are then joined to their chunks. A table takes in a short text before it; a longer one, or one of 200 characters or
+    more, is a chunk of its own.
     """
-    marked = boilerplate(pages).groupBy("key").agg(F.collect_set("line").alias("drop"))
-    whole = pages.join(marked, "key", "left").select("key", "page", "text", F.coalesce("drop", F.array().cast("array<string>")).alias("drop"))
-    table = re.compile(re.escape(OPEN) + r"\n(.*?)\n" + re.escape(CLOSE), re.S)
-    number = re.compile(PAGE_NUMBER)
-
-    def stream_of(page: int, text: str, drop: set[str]) -> Iterator[tuple[str, int, str]]:
-        pieces = table.split(text)
-        for place, piece in enumerate(pieces):
-            if place % 2:
-                yield "table", page, piece.strip()
-                continue
-            for raw in piece.split("\n") if piece else []:
-                line = raw.strip()
-                if not line:
-                    yield "blank", page, ""
-                elif line not in drop and not ((m := number.match(line)) and any(n and abs(int(n) - page) <= 1 for n in m.groups())):
-                    yield "line", page, line
-
-    def make(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page")
-        stream = [x for page, text, drop in zip(group["page"], group["text"], group["drop"], strict=True) for x in stream_of(page, text, set(drop))]
-        made = pd.DataFrame(chunk_stream(group["key"].iloc[0], stream), columns=["id", "key", "section", "subsection", "page_start", "page_end", "type", "table_rows", "table_caption", "text", "n_chars"])
-        return made.astype({"table_rows": "Int32"})
-
-    schema = "id string, key string, section string, subsection string, page_start int, page_end int, type string, table_rows int, table_caption string, text string, n_chars int"
-    return whole.groupBy("key").applyInPandas(make, schema)
+    events = cut_lineage(report_events(pages))
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        key, pos = group["key"].iloc[0], group["pos"].to_numpy()
+        return pd.DataFrame([(key, n, pos[at], pos[k]) for n, at, k in packed(group["kind"].tolist(), group["size"].tolist())], columns=["key", "no", "at", "pos"])
+
+    sizes = events.select("key", "pos", "kind", F.char_length("content").alias("size"))
+    places = sizes.groupBy("key").applyInPandas(fold, "key string, no int, at int, pos int")
+    held = places.join(events.select("key", "pos", "page", "kind", "content"), ["key", "pos"])
+    is_table, table = F.col("kind") == "table", F.max(F.when(F.col("kind") == "table", F.col("content")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
+    made = held.groupBy("key", "no", "at").agg(F.min("page").alias("first"), F.max("page").alias("last"), text.alias("text"), F.max(is_table).alias("is_table"), (F.length(table) - F.length(F.replace(table, F.lit("\n"), F.lit(""))) + 1).alias("rows"))
+    ends = events.select("key", F.col("pos").alias("at"), "section", "subsection", "caption")
+    page = F.when(F.col("is_table"), F.col("last")).otherwise(F.col("first"))
+    return made.join(ends, ["key", "at"]).select(F.format_string("%s#%04d", "key", "no").alias("id"), "key", "section", "subsection", page.alias("page_start"), F.col("last").alias("page_end"), F.when(F.col("is_table"), "table").otherwise("text").alias("type"), F.when(F.col("is_table"), F.col("rows")).alias("table_rows"), F.when(F.col("is_table"), F.col("caption")).alias("table_caption"), "text", F.char_length("text").alias("n_chars"))

@@ -104,19 +104,41 @@ def test_chunks_of_pages(pages):
     assert made[3]["subsection"] == "一、小节" and made[1]["table_rows"] == 3 and all(c["n_chars"] == len(c["text"]) for c in made)
 
 
-@pytest.mark.parametrize(("size", "kinds"), [(199, ["table"]), (200, ["text", "table"]), (219, ["text", "table"]), (220, ["text", "table"])])
-def test_text_before_a_table(size, kinds):
-    made = cleaning.chunk_stream("k", [("line", 1, "字" * size), ("table", 1, "| a |")])
-    assert [c[6] for c in made] == kinds
+@pytest.mark.parametrize(("size", "chunks"), [(199, [[0, 1]]), (200, [[0], [1]]), (219, [[0], [1]]), (220, [[0], [1]])])
+def test_text_before_a_table(size, chunks):
+    assert held(["line", "table"], [size, 5]) == chunks
+
+
+def held(kinds, sizes):
+    """The events of each chunk."""
+    out = {}
+    for number, _, k in cleaning.packed(kinds, sizes):
+        out.setdefault(number, []).append(k)
+    return [out[n] for n in sorted(out)]
 
 
 def test_overflow_keeps_a_short_last_line():
-    lines = [("line", 1, "甲" * 900), ("line", 2, "乙" * 250), ("line", 3, "丙" * 100)]
-    made = cleaning.chunk_stream("k", lines)
-    assert made[0][9] == "甲" * 900 + "\n" + "乙" * 250 and made[1][9] == "乙" * 250 + "\n" + "丙" * 100
-    long = cleaning.chunk_stream("k", [("line", 1, "甲" * 900), ("line", 2, "乙" * 300), ("line", 3, "丙" * 120)])
-    assert long[1][9] == "丙" * 120
-    assert cleaning.chunk_stream("k", [("line", 1, "丙" * 119)]) == [] and cleaning.chunk_stream("k", []) == []
+    assert held(["line", "line", "line", "end"], [900, 250, 100, 0]) == [[0, 1], [1, 2]]
+    assert held(["line", "line", "line", "end"], [900, 300, 120, 0]) == [[0, 1], [2]]
+    assert held(["line", "end"], [119, 0]) == [] and held([], []) == []
+
+
+def test_headings_and_blank_lines_end_chunks():
+    assert held(["line", "section", "line", "end"], [219, 4, 120, 0]) == [[2]]
+    assert held(["line", "section", "line", "end"], [220, 4, 120, 0]) == [[0], [2]]
+    assert held(["line", "sub", "line", "end"], [219, 4, 1, 0]) == [[0, 2]]
+    assert held(["line", "sub", "line", "end"], [220, 4, 120, 0]) == [[0], [2]]
+    assert held(["line", "blank", "line", "end"], [699, 0, 120, 0]) == [[0, 2]]
+    assert held(["line", "blank", "line", "end"], [700, 0, 120, 0]) == [[0], [2]]
+    assert [at for _, at, _ in cleaning.packed(["line", "sub", "end"], [220, 4, 0])] == [1]
+
+
+def test_labels_of_chunks(spark):
+    """A text kept past a subsection heading has its label; of headings alone on their lines every second one is taken in; captions don't reach across sections."""
+    text = "\n".join(["第一节", "第二节", "第三节", "", "一、甲", "短文" * 50, "二、乙", "长文" * 60, "[表格开始]", "| a |", "[表格结束]", "第四节 丁", "[表格开始]", "| b |", "[表格结束]"])
+    made = sorted((r.asDict() for r in cleaning.chunk_reports(spark.createDataFrame([("k", 1, text), *(("k", p, "") for p in (2, 3, 4))], "key string, page int, text string")).collect()), key=lambda r: r["id"])
+    assert [(c["id"], c["section"], c["subsection"], c["type"], c["table_caption"]) for c in made] == [("k#0001", "第三节 一、甲", "二、乙", "text", None), ("k#0002", "第三节 一、甲", "二、乙", "table", "二、乙"), ("k#0003", "第四节 丁", "", "table", "第四节 丁")]
+    assert made[0]["text"] == "短文" * 50 + "\n" + "长文" * 60
 
 
 def test_layout(spark):
