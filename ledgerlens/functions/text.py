@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
+# Fixed value: the characters of Unicode's whitespace property, as a class; an explicit class is matched much faster than the property.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # The character classes of the tokenizer.
 CJK = "㐀-䶿一-鿿"
 RUNS = f"[{CJK}豈-﫿]+|[a-z0-9][a-z0-9.%,]*|[À-ɏ]+"
@@ -31,12 +34,12 @@ def fold_width(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """All whitespace removed, Unicode whitespace included."""
-    return F.regexp_replace(text, r"(?U)\s+", "")
+    return F.regexp_replace(text, SPACE + "+", "")
 
 
 def tidy(text: Column) -> Column:
     """Outer whitespace removed and each inner run made one space."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def runs(text: Column) -> Column:
@@ -54,9 +57,19 @@ def terms(text: Column, normalise: bool = True) -> Column:
     return folded_terms(folded(text, normalise))
 
 
+# Fixed value: all but the characters that NFKC leaves as they are next to each other, or changes as fold_width() does.
+NOT_PLAIN = f"[^\\x00-\\x7f、-】—‘-”{CJK}！-～　]"
+
+
 def folded(text: Column, normalise: bool = True) -> Column:
-    """Lower-cased text after NFKC, or after folding of full-width forms only."""
-    return F.lower(nfkc(text) if normalise else fold_width(text))
+    """Lower-cased text after NFKC, or after folding of full-width forms only.
+
+    Texts without NOT_PLAIN characters are folded in the JVM, which gives the same; only the others go through Python.
+    """
+    if not normalise:
+        return F.lower(fold_width(text))
+    rest = F.when(text.rlike(NOT_PLAIN), text)
+    return F.lower(F.coalesce(nfkc(rest), fold_width(text)))
 
 
 def folded_terms(text: Column) -> Column:

@@ -7,19 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlens.functions.text import squeeze
-from ledgerlens.functions.vocabulary import NOT_A_REPORT
-from ledgerlens.runtime import BROADCAST_ROWS, broadcast_if_small
-
-
-def contained(patterns: DataFrame, texts: DataFrame, pattern_key: str, pattern: str, text_key: str, text: str) -> DataFrame:
-    """``pattern_key``, ``text_key`` of every text that contains a pattern, whitespace not counted.
-
-    Patterns are a stated set (the evaluation material); both sides are normalised once, before the join, and
-    the patterns are broadcast after they have been counted. Empty patterns and null texts match nothing.
-    """
-    wanted = patterns.select(F.col(pattern_key), squeeze(F.col(pattern)).alias("__p")).where(F.col(pattern_key).isNotNull() & (F.char_length("__p") > 0)).distinct()
-    held = texts.select(F.col(text_key), squeeze(F.col(text)).alias("__t")).where(F.col(text_key).isNotNull() & (F.char_length("__t") > 0))
-    return held.join(broadcast_if_small(wanted, wanted.count()), F.contains("__t", "__p")).select(pattern_key, text_key).distinct()
+from ledgerlens.functions.vocabulary import EXPANSIONS, NOT_A_REPORT
+from ledgerlens.runtime import broadcast_if_small, cut_lineage
 
 
 def recall_at(ranked: DataFrame, k: int) -> DataFrame:
@@ -29,6 +18,89 @@ def recall_at(ranked: DataFrame, k: int) -> DataFrame:
     return first.select("qid", "first", F.coalesce(F.col("first") <= k, F.lit(False)).alias("recalled"), verdict.alias("verdict"))
 
 
+def question_facts(questions: DataFrame) -> DataFrame:
+    """``id``, ``fact_no``, ``pattern``: what a good result must mention. Each phrase of EXPANSIONS in a question is a fact, and the phrase or any word of its report wording shows it."""
+    rules = [F.when(F.col("question").contains(phrase), F.struct(F.lit(n).alias("fact_no"), F.array(*(F.lit(x) for x in dict.fromkeys([phrase, *wording.split(" ")]))).alias("any_of"))) for n, (phrase, wording) in enumerate(EXPANSIONS, 1)]
+    facts = questions.where("id is not null").select("id", "question").distinct().select("id", F.explode(F.array_compact(F.array(*rules))).alias("f"))
+    return facts.select("id", "f.fact_no", F.explode("f.any_of").alias("pattern"))
+
+
+def _in_scope(code: Column, period: Column) -> Column:
+    """A result's company and period are those asked for, where any are."""
+    return (F.col("asked_code").isNull() | (code == F.col("asked_code"))) & (F.col("asked_period").isNull() | F.contains(period, F.col("asked_period")))
+
+
+def _scoped(results: DataFrame, questions: DataFrame) -> DataFrame:
+    asked = questions.where("id is not null").select("id", F.col("code").alias("asked_code"), F.col("period").alias("asked_period")).distinct()
+    return results.join(asked, "id").withColumn("fits", F.coalesce(_in_scope(F.col("code"), F.col("period")), F.lit(False)))
+
+
+def gold_results(results: DataFrame, facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """``id``, ``rank``, ``idx`` and ``gold``: the result is of the company and period asked for and mentions a fact, whitespace not counted."""
+    hits = facts.groupBy("id").agg(F.collect_set("pattern").alias("patterns"))
+    text = squeeze(F.coalesce("text", F.lit("")))
+    joined = _scoped(results, questions).withColumn("plain", text).join(hits, "id", "left")
+    some = F.exists(F.coalesce("patterns", F.array().cast("array<string>")), lambda x: F.contains(F.col("plain"), squeeze(x)))
+    return joined.select("id", "rank", "idx", (F.col("fits") & some).alias("gold"))
+
+
+def fact_hits(results: DataFrame, facts: DataFrame, questions: DataFrame, shown: int = 3, chars: int = 2500) -> DataFrame:
+    """``id``, ``fact_no``, ``hit_rank`` of the first result in scope that mentions the fact, ``recalled``, and ``covered``: the first ``shown`` results, as far as an answer uses them, mention it.
+
+    ``results`` has ``id``, ``rank``, ``code``, ``period``, ``text``, a few per question; a question without results recalls nothing.
+    """
+    wanted = facts.groupBy("id", "fact_no").agg(F.collect_set("pattern").alias("patterns"))
+    scoped = _scoped(results, questions).select("id", "rank", "fits", squeeze(F.coalesce("text", F.lit(""))).alias("plain"))
+    some = lambda text: F.exists("patterns", lambda x: F.contains(text, squeeze(x)))
+    ranks = scoped.where("fits").join(wanted, "id").where(some(F.col("plain"))).groupBy("id", "fact_no").agg(F.min("rank").alias("hit_rank"))
+    used = results.where(F.col("rank") <= shown).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")))).alias("used"))
+    answer = squeeze(F.array_join(F.transform("used", lambda x: x["text"]), "\n")).alias("answer")
+    told = wanted.join(ranks, ["id", "fact_no"], "left").join(used.select("id", answer), "id", "left")
+    return told.select("id", "fact_no", "hit_rank", F.col("hit_rank").isNotNull().alias("recalled"), F.coalesce(some(F.col("answer")), F.lit(False)).alias("covered"))
+
+
+def evaluation(hits: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row per question with facts: ``id``, ``recall_hits``, ``facts``, ``recall_rate``, ``coverage_hits``, ``coverage_rate``, ``gold_rank`` (best of its facts), ``gold_recalled`` (all of them), and the people's ``verdict`` and ``class``."""
+    own = hits.groupBy("id").agg(F.count_if("recalled").alias("recall_hits"), F.count("*").alias("facts"), F.count_if("covered").alias("coverage_hits"), F.min("hit_rank").alias("gold_rank"), F.bool_and("recalled").alias("gold_recalled"))
+    rated = own.withColumn("recall_rate", rate(F.col("recall_hits"), F.col("facts"))).withColumn("coverage_rate", rate(F.col("coverage_hits"), F.col("facts")))
+    return with_annotations(rated, annotations).drop("expected", "analysis")
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """One row: questions, recalled and covered facts with their rates, and questions by verdict class."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = rows.agg(F.count("*").alias("questions"), total("recall_hits"), total("coverage_hits"), total("facts"), *(F.count_if(F.col("class") == c).alias(name) for c, name in (("ok", "correct"), ("part", "partial"), ("bad", "wrong"))))
+    return sums.withColumn("recall_rate", rate(F.col("recall_hits"), F.col("facts"))).withColumn("coverage_rate", rate(F.col("coverage_hits"), F.col("facts")))
+
+
+def company_hits(results: DataFrame, facts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """For questions about all companies: ``id``, ``fact_no``, ``companies_hit``, ``companies_total``, ``recalled`` (all of them).
+
+    ``results`` has ``id``, ``code``, ``place``, ``idx``, ``text``. A company is hit if one of its results mentions the fact, or if the
+    fact's metric can be read from its first result: ``parsed`` has ``idx``, ``metric`` of the chunks where that is so.
+    """
+    wanted = facts.groupBy("id", "fact_no").agg(F.collect_set("pattern").alias("patterns"))
+    profit, revenue = (F.exists("patterns", lambda x: F.contains(x, F.lit(w))) for w in ("净利", "营业"))
+    wanted = wanted.withColumn("metric", F.when(profit, "profit").when(revenue, "revenue"))
+    both = results.select("id", "code", "place", "idx", squeeze(F.coalesce("text", F.lit(""))).alias("plain")).join(wanted, "id")
+    read = both.join(parsed.select("idx", "metric", F.lit(True).alias("read")), ["idx", "metric"], "left")
+    hit = F.exists("patterns", lambda x: F.contains(F.col("plain"), squeeze(x))) | ((F.col("place") == 1) & F.coalesce("read", F.lit(False)))
+    each = read.groupBy("id", "fact_no", "code").agg(F.max(hit).alias("hit"))
+    return each.groupBy("id", "fact_no").agg(F.count_if("hit").alias("companies_hit"), F.count("*").alias("companies_total")).withColumn("recalled", F.col("companies_hit") == F.col("companies_total"))
+
+
+def first_names(chunks: DataFrame) -> DataFrame:
+    """``code``, ``name``: each company's name as first seen, in the order of idx."""
+    return chunks.where("code is not null and idx is not null").groupBy("code").agg(F.min_by("name", F.struct("idx", "name")).alias("name"))
+
+
+def site_stats(chunks: DataFrame, pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: chunks, tables, characters, pages and the terms of the index's vocabulary."""
+    own = chunks.where("idx is not null").select("idx", "type", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).distinct()
+    known, read = terms.count(), pages.where("key is not null and page is not null").select("key", "page").distinct().count()
+    return own.agg(F.count("*").alias("chunks"), F.count_if(F.col("type") == "table").alias("tables"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("chars"), F.lit(read).cast("long").alias("pages"), F.lit(known).cast("long").alias("terms"))
+
+
 def rate(part: Column, whole: Column) -> Column:
     """A share with three decimals; null over nothing."""
     return F.when(whole > 0, F.round(part / whole, 3))
@@ -76,17 +148,20 @@ def coverage(results: DataFrame, companies: DataFrame) -> DataFrame:
     return hit.select("qid", "hit", F.lit(total).cast("long").alias("total"), rate(F.col("hit"), F.lit(total)).alias("coverage"))
 
 
-def missing_companies(results: DataFrame, companies: DataFrame) -> DataFrame:
+def missing_companies(results: DataFrame, companies: DataFrame, block: int = 1000) -> DataFrame:
     """``qid``, ``code`` of companies that have no result for a question.
 
-    Companies are a dimension table: it is read to the driver up to BROADCAST_ROWS, more is an error, so a question's
-    set of codes is bounded as well.
+    Companies are kept as blocks of about ``block`` codes. Each question meets each block once, and of a block only the
+    codes that the question has no result of come out; neither side is gathered anywhere.
     """
-    every = [r[0] for r in companies.where("code is not null").select("code").distinct().orderBy("code").limit(BROADCAST_ROWS + 1).collect()]
-    if len(every) > BROADCAST_ROWS:
-        raise ValueError("companies is not a dimension table")
-    named = results.groupBy("qid").agg(F.collect_set("code").alias("named"))
-    return named.select("qid", F.explode(F.array_except(F.lit(every).cast("array<string>"), "named")).alias("code"))
+    codes = companies.where("code is not null").select("code").distinct()
+    blocks = max(1, -(-codes.count() // block))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
+    listed = cut_lineage(codes.groupBy(of("code")).agg(F.collect_list("code").alias("codes")))
+    named = results.where("qid is not null").groupBy("qid", of(F.coalesce("code", F.lit("")))).agg(F.collect_set("code").alias("named"))
+    asked = results.where("qid is not null").select("qid").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    both = asked.join(broadcast_if_small(listed, blocks * block), "block").join(named, ["qid", "block"], "left")
+    return both.select("qid", F.explode(F.array_except("codes", F.coalesce("named", F.array().cast("array<string>")))).alias("code"))
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:

@@ -9,28 +9,26 @@ from pyspark.sql import Window as W
 from ledgerlens.functions.text import folded, folded_terms
 from ledgerlens.functions.vocabulary import MIN_DF
 from ledgerlens.plans.ranking import number_all, running_total
-from ledgerlens.runtime import broadcast_if_small
+from ledgerlens.runtime import broadcast_if_small, cut_lineage
 
 #: Documents per posting block, as a power of two: a common term's postings are spread over blocks of bounded size.
 BLOCK_BITS = 12
-#: Largest term frequency in the exported index.
-TF_CAP = 64
 
 
-def index_text(df: DataFrame, normalise: bool = True) -> DataFrame:
-    """``idx`` and the indexed ``body`` of each different chunk: its non-empty section, subsection and text, joined by spaces and folded.
+def index_text(df: DataFrame, normalise: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``idx``, the columns ``keep`` and the indexed ``body`` of each different chunk: its non-empty section, subsection and text, joined by spaces and folded.
 
     Repeated rows count once; rows without idx are left out; a chunk with nothing to index has empty text. Folding
     comes first, then the rows are partitioned by idx, which serves both the removal of repeats and all later counts
     per (idx, term): those need no further shuffle.
     """
     parts = [F.nullif(F.col(c), F.lit("")) for c in ("section", "subsection", "text")]
-    return df.where("idx is not null").select("idx", folded(F.concat_ws(" ", *parts), normalise).alias("body")).repartition("idx").distinct()
+    return df.where("idx is not null").select("idx", *keep, folded(F.concat_ws(" ", *parts), normalise).alias("body")).repartition("idx").distinct()
 
 
-def tokenized(df: DataFrame, normalise: bool = True) -> DataFrame:
-    """``idx``, ``terms`` in order and their number ``dl``."""
-    return index_text(df, normalise).select("idx", folded_terms(F.col("body")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+def tokenized(df: DataFrame, normalise: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``idx``, the columns ``keep``, ``terms`` in order and their number ``dl``."""
+    return index_text(df, normalise, keep).select("idx", *keep, folded_terms(F.col("body")).alias("terms")).withColumn("dl", F.size("terms").cast("long"))
 
 
 def exploded(tokens: DataFrame, *keep: str) -> DataFrame:
@@ -75,16 +73,30 @@ def block_of(idx: Column) -> Column:
     return F.shiftright(idx, BLOCK_BITS)
 
 
+def posting_lists(tokens: DataFrame) -> DataFrame:
+    """``term``, ``block``, ``n`` and ``postings`` (``idx``, ``tf`` in order). A row holds at most 2 ** BLOCK_BITS documents, so a term that every document has is many rows."""
+    lists = term_freq(tokens).groupBy("term", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "tf"))).alias("postings"))
+    return lists.select("term", "block", F.size("postings").cast("long").alias("n"), "postings")
+
+
 def posting_blocks(tokens: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """``term``, ``block``, ``n`` and ``postings`` (``idx:tf`` in order, space-separated) of terms in at least ``min_df`` documents.
 
-    A row holds at most 2 ** BLOCK_BITS documents, so a term that every document has is many rows.
+    Lists are built once. A block of ``min_df`` documents shows that its term has enough; only the smaller blocks are
+    joined to the terms' totals, so no long list is moved again.
     """
-    lists = term_freq(tokens).groupBy("term", block_of(F.col("idx")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "tf"))).alias("p"))
-    counted = lists.withColumn("n", F.size("p").cast("long"))
-    frequent = counted.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df).select("term")
-    text = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["idx"], x["tf"])), " ")
-    return counted.join(frequent, "term", "left_semi").select("term", "block", "n", text.alias("postings"))
+    lists = cut_lineage(posting_lists(tokens))
+    enough = lists.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df).select("term")
+    text = F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x["idx"], x["tf"])), " ")
+    kept = lists.where(F.col("n") >= min_df).unionByName(lists.where(F.col("n") < min_df).join(enough, "term", "left_semi"))
+    return kept.select("term", "block", "n", text.alias("postings"))
+
+
+def write_index(tokens: DataFrame, path: str) -> None:
+    """A searchable index under ``path``: ``postings`` (terms in order, so that readers skip what they don't ask for) and ``lengths``."""
+    kept = cut_lineage(tokens)
+    posting_lists(kept).repartitionByRange("term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    kept.drop("terms").write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def varint_length(n: Column) -> Column:
@@ -92,12 +104,15 @@ def varint_length(n: Column) -> Column:
     return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5).cast("long")
 
 
-def encode_gaps(tokens: DataFrame) -> DataFrame:
-    """``term``, ``idx``, ``gap`` to the block's previous document (or the block's start), capped ``tf`` and ``bytes`` of both as varints."""
+def encode_gaps(tokens: DataFrame, tf_cap: int | None = None) -> DataFrame:
+    """``term``, ``idx``, ``gap`` to the block's previous document (or the block's start), ``tf`` and ``bytes`` of both as varints.
+
+    ``tf_cap`` is the largest frequency that is kept, for exports that want one; by default all are kept.
+    """
     rows = term_freq(tokens).withColumn("block", block_of(F.col("idx")))
     before = F.lag("idx").over(W.partitionBy("term", "block").orderBy("idx"))
     gaps = rows.withColumn("gap", F.col("idx") - F.coalesce(before, F.shiftleft("block", BLOCK_BITS)))
-    capped = gaps.withColumn("tf", F.least(F.col("tf"), F.lit(TF_CAP)))
+    capped = gaps if tf_cap is None else gaps.withColumn("tf", F.least(F.col("tf"), F.lit(tf_cap).cast("long")))
     return capped.select("term", "idx", "gap", "tf", (varint_length(F.col("gap")) + varint_length(F.col("tf"))).alias("bytes"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerlens.runtime import broadcast_if_small, cut_lineage
+
 #: A run of neighbouring lines that begin with a bar.
 BLOCK = r"(?m)(?:^[ \t]*\|[^\n]*(?:\n|\z))+"
 #: A row that only separates the head from the body.
@@ -128,7 +130,9 @@ def panorama(results: DataFrame, chunks: DataFrame, metric: str, by_growth: bool
     ``results`` has ``qid``, ``code``, ``place``, ``idx``; a company's value is taken from its first result in
     which the metric can be read. Companies without a value come last.
     """
-    values = extract_metric(chunks.where("idx is not null").select("idx", "text").distinct(), "idx", "text", metric)
+    results = cut_lineage(results)
+    ids = results.select("idx").distinct()
+    values = extract_metric(chunks.select("idx", "text").join(broadcast_if_small(ids, ids.count()), "idx", "left_semi").distinct(), "idx", "text", metric)
     read = results.join(values, "idx", "left")
     first = F.min_by(F.struct("idx", "now", "prev", "pct"), F.struct(F.col("now").isNull().alias("n"), "place"))
     rows = read.groupBy("qid", "code").agg(first.alias("b")).select("qid", "code", "b.idx", "b.now", "b.prev", F.round(yoy(F.col("b.now"), F.col("b.prev"), F.col("b.pct")), 6).alias("yoy"))
@@ -136,6 +140,25 @@ def panorama(results: DataFrame, chunks: DataFrame, metric: str, by_growth: bool
     return rows.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(*order))).select("qid", "place", "code", "idx", "now", "prev", "yoy")
 
 
+def panorama_table(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Companies side by side: ``period``, ``code``, and for ``revenue`` and ``profit`` the ``page`` and ``url`` of the first result, ``now``, ``prev`` and ``yoy``.
+
+    ``results`` has ``id`` (metric and period, joined by a bar), ``code``, ``place``, ``idx``. A metric is read from its company's
+    few results joined in order, since a table may be cut between chunks; a company that only one metric has results of
+    has nulls for the other.
+    """
+    ids = results.select("idx").distinct()
+    texts = chunks.select("idx", "text", "page_start", "url").join(broadcast_if_small(ids, ids.count()), "idx", "left_semi").distinct()
+    held = results.join(texts, "idx").groupBy("id", "code").agg(F.array_sort(F.collect_list(F.struct("place", "idx", "text", "page_start", "url"))).alias("r"))
+    merged = cut_lineage(held.select(F.concat_ws("|", "id", "code").alias("key"), "id", "code", F.array_join(F.transform("r", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"), F.col("r")[0]["page_start"].alias("page"), F.col("r")[0]["url"].alias("url")))
+    sides = []
+    for metric in ("revenue", "profit"):
+        own = merged.where(F.split_part("id", F.lit("|"), F.lit(1)) == metric)
+        read = own.join(extract_metric(own, "key", "text", metric), "key", "left")
+        sides.append(read.select(F.split_part("id", F.lit("|"), F.lit(2)).alias("period"), "code", F.col("page").alias(f"{metric}_page"), F.col("url").alias(f"{metric}_url"), F.col("now").alias(metric), F.col("prev").alias(f"{metric}_prev"), F.round(yoy(F.col("now"), F.col("prev"), F.col("pct")), 6).alias(f"{metric}_yoy")))
+    return sides[0].join(sides[1], ["period", "code"], "full_outer")
+
+
 def entity_growth(facts: DataFrame, entity: str, period: str, value: str) -> DataFrame:
     """``entity``, ``period``, ``now``, ``prev`` (of the period before), ``yoy`` and ``place`` within the period by growth."""
     sums = facts.groupBy(entity, period).agg(F.round(F.sum(value), 2).alias("now"))

@@ -65,14 +65,16 @@ _ANY = rf"-?\(?(?:{_DIGITS}|{_HAN})\)? ?(?:{_UNIT})?(?:(?:{_DIGITS}|{_HAN}) ?(?:
 _FILL = r"(?: |\x{3000}|为|达到|达|约|合计|共计|实现|:|(?i:of|rmb|cny|came to|was|were|amounted to|stood at))*"
 _VALUE = rf"(-?\(?)(?:({_DIGITS})\)? ?({_UNIT})?|({_HAN})({_UNIT}))(?:({_DIGITS}|{_HAN}) ?({_UNIT}))?( ?%)?"
 _BEFORE = rf"(?:[由从](?:上年同期|去年同期)?的?{_ANY}(?:变为|变动至|变动为|变成|增至|增加至|降至|减少至|至|到))?"
+_MENTION = rf"({_LABEL}){_BEFORE}{_FILL}{_VALUE}"
 
 #: The regular expressions, in the syntax that both Java and RE2 read.
 PATTERNS = {
     "label": rf"(?:{_LABEL})",
     "declared": rf"(?:单位(?:均)?(?:为)?:? ?(?:人民币)?|金额以)(?:{_MONEY})|(?m:^\((?:{_MONEY})\)\s*$)",
     "declared_unit": rf"^(?:单位(?:均)?(?:为)?:? ?(?:人民币)?|金额以|\()({_MONEY})",
-    "mention": rf"({_LABEL}){_BEFORE}{_FILL}{_VALUE}",
-    "row": rf"(?m)^\| *(?:{_LABEL}) *(?:\([^|\n]*\))? *\|[^\n]*",
+    "mention": _MENTION,
+    "item": rf"(?m:^\|[^\n]*)|{_MENTION}",
+    "row": rf"^\| *(?:{_LABEL}) *(?:\([^|\n]*\))? *\|",
     "row_label": rf"^\| *({_LABEL})",
     "row_unit": rf"^\|[^|]*\(({_UNIT})\)",
     "header": r"(?m)^\|[^\n]*(?:本期|本年|本报告期|(?i:current|this))[^\n]*",
@@ -116,7 +118,6 @@ def figures_sql(dialect: str) -> str:
     all_of = "regexp_extract_all({}, {}, 0)"
     mark = f"regexp_replace(plain, {q['declared']}, '\\u0001$0')" if spark else f"regexp_replace(plain, {q['declared']}, chr(1) || '\\0', 'g')"
     cut = "split(marked, '\\u0001')" if spark else "string_split(marked, chr(1))"
-    no_rows = r"'(?m)^\\|.*$', ''" if spark else r"'(?m)^\|.*$', '', 'g'"
     wide, narrow = (s.replace("\\", "\\\\").replace("'", "\\'") if spark else s.replace("'", "''") for s in (WIDE + "−－", NARROW + "--"))
     cells = r"split({}, '\\|')" if spark else "string_split({}, '|')"
     at = "element_at" if spark else "list_extract"
@@ -140,42 +141,38 @@ plain AS (SELECT idx, translate(text, '{wide}', '{narrow}') AS plain FROM {"{chu
 marked AS (SELECT idx, {mark} AS marked FROM plain),
 parts AS ({explode("marked", "idx", cut, "part")}),
 declared AS (SELECT idx, part_no, part, nullif(regexp_extract(part, {q["declared_unit"]}, 1), '') AS text_unit FROM parts),
-said AS ({explode("declared", "idx, part_no, text_unit", all_of.format(f"regexp_replace(part, {no_rows})", q["mention"]), "said")}),
-prose AS (SELECT idx, part_no, said_no, text_unit, lower(regexp_extract(said, {q["mention"]}, 1)) AS name, '' AS label_unit, {fields("said", "mention", 2)} FROM said),
-tables AS (SELECT idx, part_no, text_unit, part, regexp_extract(part, {q["header"]}, 0) AS header FROM declared WHERE part LIKE '%|%'),
-placed AS (SELECT *, {place} AS place FROM tables),
-lines AS ({explode("placed", "idx, part_no, text_unit, header, place", all_of.format("part", q["row"]), "line")}),
+headed AS (SELECT *, regexp_extract(part, {q["header"]}, 0) AS header FROM declared),
+placed AS (SELECT *, {place} AS place FROM headed),
+items AS ({explode("placed", "idx, part_no, text_unit, header, place", all_of.format("part", q["item"]), "item")}),
+prose AS (SELECT idx, part_no, item_no, text_unit, lower(regexp_extract(item, {q["mention"]}, 1)) AS name, '' AS label_unit, {fields("item", "mention", 2)} FROM items WHERE item NOT LIKE '|%'),
 cells AS (
-  SELECT idx, part_no, line_no, text_unit, lower(regexp_extract(line, {q["row_label"]}, 1)) AS name,
-    coalesce(nullif(regexp_extract(line, {q["row_unit"]}, 1), ''), regexp_extract({at}({cells.format("header")}, CAST(place AS INT)), {q["in_brackets"]}, 1)) AS label_unit,
-    {at}({cells.format("line")}, CAST(place AS INT)) AS cell
-  FROM lines WHERE place > 0),
-tabled AS (SELECT idx, part_no, line_no, text_unit, name, label_unit, {fields("cell", "cell", 1)} FROM cells),
-read AS (
-  SELECT idx, part_no * 100000 + said_no AS place, text_unit, name, label_unit, sign, digits, unit_a, han, unit_b, more, more_unit, percent FROM prose
-  UNION ALL
-  SELECT idx, part_no * 100000 + line_no AS place, text_unit, name, label_unit, sign, digits, unit_a, han, unit_b, more, more_unit, percent FROM tabled),
+  SELECT idx, part_no, item_no, text_unit, lower(regexp_extract(item, {q["row_label"]}, 1)) AS name,
+    coalesce(nullif(regexp_extract(item, {q["row_unit"]}, 1), ''), regexp_extract({at}({cells.format("header")}, CAST(place AS INT)), {q["in_brackets"]}, 1)) AS label_unit,
+    {at}({cells.format("item")}, CAST(place AS INT)) AS cell
+  FROM items WHERE item LIKE '|%' AND place > 0 AND regexp_extract(item, {q["row"]}, 0) <> ''),
+tabled AS (SELECT idx, part_no, item_no, text_unit, name, label_unit, {fields("cell", "cell", 1)} FROM cells),
+read AS (SELECT * FROM prose UNION ALL SELECT * FROM tabled),
 numbers AS (
-  SELECT idx, place, name, CASE WHEN sign = '' THEN 1 ELSE -1 END AS sign, {number("digits")} AS in_digits, {number("han")} AS in_han, {number("more")} AS more,
+  SELECT idx, part_no, item_no, name, CASE WHEN sign = '' THEN 1 ELSE -1 END AS sign, {number("digits")} AS in_digits, {number("han")} AS in_han, {number("more")} AS more,
     coalesce({unit_name("unit_a")}, {unit_name("unit_b")}) AS own_unit, {unit_name("label_unit")} AS label_unit, text_unit, {unit_name("more_unit")} AS more_unit
   FROM read WHERE percent = '' AND (digits <> '' OR han <> '')),
 chosen AS (
-  SELECT n.idx, n.place, m.measure, m.kind, n.sign, coalesce(n.in_digits, n.in_han) AS amount, n.more, n.more_unit,
+  SELECT n.idx, n.part_no, n.item_no, m.measure, m.kind, n.sign, coalesce(n.in_digits, n.in_han) AS amount, n.more, n.more_unit,
     coalesce(n.own_unit, n.label_unit, CASE WHEN m.kind = 'money' THEN n.text_unit END, CASE m.kind WHEN 'money' THEN '元' WHEN 'volume' THEN '升' ELSE '公斤' END) AS unit
   FROM numbers n JOIN measures m ON n.name = m.name),
 converted AS (
-  SELECT c.idx, c.place, c.measure,
+  SELECT c.idx, c.part_no, c.item_no, c.measure,
     CAST(round(c.sign * (c.amount * u.factor + u.shift + coalesce(c.more * w.factor, 0)), 0) AS BIGINT) AS value
   FROM chosen c JOIN units u ON c.unit = u.unit AND c.kind = u.kind LEFT JOIN units w ON c.more_unit = w.unit AND c.kind = w.kind)
-SELECT idx, measure, {"min_by" if spark else "arg_min"}(value, place) AS value FROM converted GROUP BY idx, measure
+SELECT idx, measure, {"min_by(value, struct(part_no, item_no, value))" if spark else "first(value ORDER BY part_no, item_no, value)"} AS value FROM converted GROUP BY idx, measure
 """
 
 
 def figures(chunks: DataFrame) -> DataFrame:
     """The current period's figures of ``chunks(idx, text)``: ``idx``, ``measure``, ``value`` in yuan, litres or kilograms.
 
-    One SQL statement: texts are cut where a unit is declared; names with a figure are taken from prose by regular
-    expression, table rows from the column of the current period; names and units are normalised by joins with
+    One SQL statement: texts are cut where a unit is declared; names with a figure in prose and table rows are taken
+    by one regular expression, in the order of the text, rows from the column of the current period; names and units are normalised by joins with
     the fixed tables MEASURES and UNITS. A figure's unit is the one written with it, else that of its row label
     or column head, else the one declared in the text before it, else the base unit. Two-part figures (``1亿300万元``,
     ``5吨20公斤``) are added up; brackets and minus signs are negative; of "from A to B" only B counts; bracketed
@@ -183,7 +180,7 @@ def figures(chunks: DataFrame) -> DataFrame:
     never shuffled.
 
     Defined cases: null and empty texts give no rows, nor do rows without idx; repeated rows count once; of
-    several current figures of one measure the first in the text holds; cells without a number and units of
+    several current figures of one measure the first in the text holds (in different texts of one idx, the lower at equal places); cells without a number and units of
     another kind give no row; other columns are ignored.
     """
     statement = figures_sql("spark").replace("{", "{{").replace("}", "}}").replace("{{chunks}}", "{chunks}")

@@ -7,15 +7,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.index import decoded, dictionary, encoded
 from ledgerlens.operators.search import quantized
+from ledgerlens.runtime import cut_lineage
 
 #: First bytes of an index shard.
 MAGIC = b"LLX1"
-#: Rows that a report may show; reports are read by people.
-REPORT_ROWS = 1000
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -51,10 +51,10 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def index_shards(encoded: DataFrame) -> DataFrame:
+def index_shards(gaps: DataFrame) -> DataFrame:
     """``terms``, ``payload``: compressed binary shards of an index, one per task, terms in order.
 
-    ``encoded`` has ``term``, ``idx``, ``gap``, ``tf``. A shard is MAGIC, the number of entries, then entries of
+    ``gaps`` has ``term``, ``idx``, ``gap``, ``tf``. A shard is MAGIC, the number of entries, then entries of
     term length, term, block, postings and (gap, tf) varints; a term's entries are one per posting block, so
     none grows with the collection.
     """
@@ -81,8 +81,8 @@ def index_shards(encoded: DataFrame) -> DataFrame:
             close()
             yield pd.DataFrame({"terms": [terms], "payload": [MAGIC + struct.pack("<I", entries) + zlib.compress(bytes(body))]})
 
-    ordered = encoded.repartitionByRange("term").sortWithinPartitions("term", "idx")
-    return ordered.mapInPandas(pack, "terms long, payload binary")
+    in_order = gaps.repartitionByRange("term").sortWithinPartitions("term", "idx")
+    return in_order.mapInPandas(pack, "terms long, payload binary")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -121,12 +121,61 @@ def write_lengths(lengths: DataFrame, path: str) -> None:
     lengths.select("idx", F.col("dl").cast("int").alias("dl")).write.mode("overwrite").parquet(path)
 
 
-def markdown_report(title: str, tables: dict[str, DataFrame]) -> str:
-    """A report for people: each small result as a Markdown table of at most REPORT_ROWS rows, sorted by its first column; more are counted, not shown."""
+def write_site(chunks: DataFrame, path: str, columns: dict[str, str | None]) -> None:
+    """Chunks with ``columns`` as codes under ``path/chunks``, the dictionaries under ``path/dictionary``, and one row of ``path/meta``: chunks and the size of each dictionary.
+
+    ``columns`` names, for each column, the one whose order gives its codes (first seen first), or None for sorted values.
+    """
+    known = {name: cut_lineage(dictionary(chunks, name, order)) for name, order in columns.items()}
+    encoded(chunks, known).write.mode("overwrite").parquet(f"{path}/chunks")
+    for name, values in known.items():
+        values.write.mode("overwrite").parquet(f"{path}/dictionary/column={name}")
+    sizes = [F.lit(values.count()).alias(f"{name}_values") for name, values in known.items()]
+    chunks.agg(F.count("*").alias("chunks"), *sizes).write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_site(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of write_site() with their values."""
+    values = spark.read.parquet(f"{path}/dictionary")
+    names = [r[0] for r in values.select("column").distinct().collect()]
+    return decoded(spark.read.parquet(f"{path}/chunks"), {name: values.where(F.col("column") == name).select("value", "code") for name in names})
+
+
+def write_evaluation(questions: DataFrame, summary: DataFrame, path: str) -> None:
+    """Evaluated questions and their summary as JSON lines under ``path/questions`` and ``path/summary``."""
+    questions.orderBy("id").write.mode("overwrite").json(f"{path}/questions")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_manifest(rows: DataFrame, totals: DataFrame, path: str) -> None:
+    """Manifest rows by company code and period, and their totals, as JSON lines under ``path/reports`` and ``path/totals``."""
+    ordered(rows).write.mode("overwrite").json(f"{path}/reports")
+    totals.write.mode("overwrite").json(f"{path}/totals")
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Manifest rows in the order of company code and period, both parts of the key."""
+    return rows.orderBy(F.split("key", "_")[0], F.split("key", "_")[1], "key")
+
+
+def by_revenue(rows: DataFrame) -> DataFrame:
+    """Rows of a report's table from the largest revenue down, those without one among zeros."""
+    return rows.orderBy(F.coalesce("revenue", F.lit(0.0)).desc(), "code")
+
+
+def markdown_report(title: str, tables: dict[str, DataFrame], most: int | None = None) -> str:
+    """A report for people: each result as a Markdown table, in the result's order if it is sorted, else by its first column.
+
+    Reports hold everything; with ``most``, only so many rows of each table, and how many more there are. Rows are fetched
+    partition by partition.
+    """
     parts = [f"# {title}"]
     for name, df in tables.items():
-        rows = df.orderBy(df.columns[0]).limit(REPORT_ROWS + 1).collect()
+        count = df.count() if most is not None else 0
+        rows = df if df._jdf.queryExecution().analyzed().nodeName() == "Sort" else df.orderBy(df.columns[0])
+        rows = rows.limit(most) if most is not None else rows
         lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        lines += ["| " + " | ".join("—" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows[:REPORT_ROWS]]
-        parts.append(f"## {name}\n\n" + "\n".join(lines) + (f"\n\nThe first {REPORT_ROWS} rows." if len(rows) > REPORT_ROWS else ""))
+        lines += ["| " + " | ".join("—" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows.toLocalIterator()]
+        more = f"\n\n{count - most} more rows." if most is not None and count > most else ""
+        parts.append(f"## {name}\n\n" + "\n".join(lines) + more)
     return "\n\n".join(parts) + "\n"

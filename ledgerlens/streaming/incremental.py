@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators.index import term_freq, tokenized
+from ledgerlens.runtime import cut_lineage
 from ledgerlens.sources.readers import CHUNK
 
 
@@ -16,16 +17,20 @@ def chunk_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 
 def index_stream(chunks: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's postings to ``sink``, in a folder per batch that a repeated batch overwrites; ends when the input is used up."""
+    """Append each batch's postings and chunk lengths to ``sink``, in a folder per batch that a repeated batch overwrites; ends when the input is used up.
+
+    A chunk without terms has a length as well, so that it takes the place of its earlier versions.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        term_freq(tokenized(batch)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        tokens = cut_lineage(tokenized(batch))
+        term_freq(tokens).write.mode("overwrite").parquet(f"{sink}/postings/batch={number}")
+        tokens.select("idx", "dl").write.mode("overwrite").parquet(f"{sink}/lengths/batch={number}")
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_counts(spark: SparkSession, sink: str) -> DataFrame:
     """``term``, ``df``, ``cf`` over all batches; a chunk that came in several batches counts once, by its last."""
-    rows = spark.read.parquet(sink)
-    last = rows.groupBy("idx").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["idx", "batch"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    last = spark.read.parquet(f"{sink}/lengths").groupBy("idx").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{sink}/postings").join(last, ["idx", "batch"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluate, index
+from ledgerlens.operators.contain import contained
 from ledgerlens.plans import catalogue
 from ledgerlens.sources import readers, sinks
 from ledgerlens.streaming import incremental
@@ -10,7 +13,41 @@ from tests.conftest import rows
 def test_containment_ignores_whitespace(spark):
     items = spark.createDataFrame([(1, "甲 乙"), (2, ""), (3, None), (4, "丁")], "item_id bigint, expected string")
     docs = spark.createDataFrame([(10, "x甲\n乙y"), (11, None), (12, "甲丙乙"), (10, "x甲\n乙y")], "doc_id bigint, text string")
-    assert rows(evaluate.contained(items, docs, "item_id", "expected", "doc_id", "text")) == [(1, 10)]
+    assert rows(contained(items, docs, "item_id", "expected", "doc_id", "text")) == [(1, 10)]
+    assert rows(contained(items, docs, "item_id", "expected", "doc_id", "text", squeezed=False)) == []
+    assert rows(contained(items.where("false"), docs, "item_id", "expected", "doc_id", "text")) == []
+
+
+def test_containment_of_phrases_of_every_length(spark):
+    rng = random.Random(9)
+    texts = [(t, "".join(rng.choice("甲乙丙") for _ in range(rng.randint(0, 90)))) for t in range(60)]
+    phrases = [(k % 30, "".join(rng.choice("甲乙丙") for _ in range(1 + k % 23))) for k in range(60)] + [(50 + k, texts[k][1][k % 7 :]) for k in range(20)]
+    got = {tuple(r) for r in contained(spark.createDataFrame(phrases, "k int, p string"), spark.createDataFrame(texts, "t int, x string"), "k", "p", "t", "x").collect()}
+    assert got == {(k, t) for k, p in phrases for t, x in texts if p and p in x}
+
+
+def test_companies_without_results(spark):
+    results = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", None), ("b", "3"), ("c", None), (None, "1")], "qid string, code string")
+    companies = spark.createDataFrame([(str(k), "x") for k in range(1, 6)] * 2 + [(None, "x")], "code string, name string")
+    for block in (1000, 2):
+        assert rows(evaluate.missing_companies(results, companies, block)) == sorted([(q, str(k)) for q, have in (("a", {1, 2}), ("b", {3}), ("c", set())) for k in range(1, 6) if k not in have], key=repr)
+
+
+def test_facts_ranks_and_coverage(spark):
+    """A fact is recalled in scope only, covered by what an answer uses, and may be split between the texts that it uses."""
+    questions = spark.createDataFrame([("a", "营收和分红", "1", "2024", 0), ("b", "库存", None, None, 0), ("c", "天气", None, None, 0), ("d", "营收", None, None, 0)], "id string, question string, code string, period string, extra int")
+    results = spark.createDataFrame([("a", 1, 1, "2", "2024A", "营业 收入"), ("a", 2, 2, "1", "2024A", "利润分"), ("a", 3, 3, "1", "2024A", "配"), ("a", 4, 4, "1", "2024H1", "营\n收"), ("b", 1, 5, "9", None, None)], "id string, rank int, idx bigint, code string, period string, text string")
+    facts = evaluate.question_facts(questions)
+    assert {r["pattern"] for r in facts.where("id = 'a' and fact_no = 5").collect()} == {"营收", "营业收入"}
+    hits = evaluate.fact_hits(results, facts, questions)
+    got = {(r["id"], r["fact_no"]): (r["hit_rank"], r["covered"]) for r in hits.collect()}
+    assert got == {("a", 5): (4, True), ("a", 9): (None, True), ("b", 13): (None, False), ("d", 5): (None, False)}
+    assert rows(evaluate.gold_results(results, facts, questions).select("id", "rank", "gold")) == [("a", 1, False), ("a", 2, False), ("a", 3, False), ("a", 4, True), ("b", 1, False)]
+    notes = spark.createDataFrame([("a", "正确", "e", "x")], "id string, verdict string, expected string, analysis string")
+    built = evaluate.evaluation(hits, notes)
+    assert rows(built.select("id", "recall_hits", "facts", "recall_rate", "coverage_hits", "gold_rank", "gold_recalled", "class")) == [("a", 1, 2, 0.5, 2, 4, False, "ok"), ("b", 0, 1, 0.0, 0, None, False, "bad"), ("d", 0, 1, 0.0, 0, None, False, "bad")]
+    assert evaluate.evaluation_summary(built).select("questions", "recall_hits", "facts", "recall_rate", "correct", "wrong").first()[:] == (3, 1, 4, 0.25, 1, 2)
+    assert evaluate.evaluation_summary(built.where("false")).select("questions", "facts", "recall_rate").first()[:] == (0, 0, None)
 
 
 def test_recall_and_verdicts(spark):
@@ -101,6 +138,39 @@ def test_scan_of_files(spark, tmp_path):
 def test_markdown_report(spark):
     report = sinks.markdown_report("T", {"x": spark.createDataFrame([(2, None), (1, "a|b")], "n int, s string")})
     assert report == "# T\n\n## x\n\n| n | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 | — |\n"
+    many = spark.range(1500)
+    assert sinks.markdown_report("T", {"x": many}).count("\n| ") == 1502
+    assert sinks.markdown_report("T", {"x": many}, most=10).endswith("| 9 |\n\n1490 more rows.\n")
+    ranked = sinks.by_revenue(spark.createDataFrame([("a", None), ("b", 5.0), ("c", -1.0)], "code string, revenue double"))
+    assert [x.split(" ")[1] for x in sinks.markdown_report("T", {"x": ranked}).splitlines()[6:]] == ["b", "a", "c"]
+
+
+def test_index_keeps_high_frequencies(spark):
+    tokens = index.tokenized(spark.createDataFrame([(1, "", "", "酒 " * 70)], "idx bigint, section string, subsection string, text string"))
+    assert rows(sinks.read_shards(sinks.index_shards(index.encode_gaps(tokens)))) == [("酒", 1, 70)]
+    assert rows(index.encode_gaps(tokens, tf_cap=64).select("tf")) == [(64,)]
+
+
+def test_site_and_manifest_sinks(spark, tmp_path):
+    chunks = spark.createDataFrame([(3, "乙", "s"), (1, "丙", None), (2, None, "t")], "idx bigint, name string, section string")
+    sinks.write_site(chunks, str(tmp_path / "site"), {"name": None, "section": "idx"})
+    assert rows(sinks.read_site(spark, str(tmp_path / "site")).select("idx", "name", "section")) == rows(chunks)
+    assert spark.read.json(str(tmp_path / "site/meta")).select("chunks", "name_values", "section_values").first()[:] == (3, 2, 2)
+    manifest = spark.createDataFrame([("2_2024A", 1), ("1_2024H1", 2), ("1_2024A", 3)], "key string, chunks int")
+    sinks.write_manifest(manifest, manifest.groupBy().sum("chunks"), str(tmp_path / "manifest"))
+    assert rows(spark.read.json(str(tmp_path / "manifest/reports")).select("key", "chunks")) == [("1_2024A", 3), ("1_2024H1", 2), ("2_2024A", 1)]
+    assert [r["key"] for r in sinks.ordered(manifest).collect()] == ["1_2024A", "1_2024H1", "2_2024A"]
+    sinks.write_evaluation(spark.createDataFrame([("a", 1)], "id string, n int"), spark.range(1), str(tmp_path / "eval"))
+    assert spark.read.json(str(tmp_path / "eval/questions")).first()["n"] == 1
+
+
+def test_a_chunk_without_terms_replaces_its_earlier_version(spark, tmp_path):
+    folder = tmp_path / "in"
+    for text in ("酒厂", ""):
+        spark.createDataFrame([(1, "", "", text)], "idx bigint, section string, subsection string, text string").coalesce(1).write.mode("append").json(str(folder))
+        q = incremental.index_stream(incremental.chunk_stream(spark, str(folder), 1), str(tmp_path / "sink"), str(tmp_path / "ck"))
+        q.awaitTermination(120)
+    assert rows(incremental.current_counts(spark, str(tmp_path / "sink"))) == []
 
 
 def test_streamed_index_equals_the_batch_index(spark, tmp_path):

@@ -16,7 +16,7 @@ def test_every_statement_has_its_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["p5_found", "bm25_topk", "term_idf", "search_modes", "panorama_rank", "page_segments", "manifest_rows", "int8_cosine"])
+@pytest.mark.parametrize("name", ["p5_found", "bm25_topk", "term_idf", "search_modes", "panorama_rank", "page_segments", "manifest_rows", "int8_cosine", "search_hybrid", "search_grouped", "panorama_table", "report_chunks", "extractive_answer", "eval_summary", "bm25_stored"])
 def test_queries_equal_their_statements(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
@@ -26,3 +26,10 @@ def test_queries_equal_their_statements(spark, name):
     df = catalogue.queries()[name](spark, DATA)
     assert set(columns) == set(df.columns)
     assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_no_query_compares_everything_with_everything(spark):
+    """Plans of the joins by containment and filter hold no nested loops or cartesian products."""
+    for name in ("gold_containment", "filter_detect", "filter_fallback", "missing_companies", "bm25_filtered"):
+        plan = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name

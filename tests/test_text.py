@@ -1,11 +1,12 @@
 import json
+import re
 import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import NARROW, WIDE, fold_width, nfkc, squeeze, terms, tidy
+from ledgerlens.functions.text import NARROW, NOT_PLAIN, SPACE, WIDE, fold_width, nfkc, squeeze, terms, tidy
 from ledgerlens.functions.wordpiece import encode, pieces, words
 
 
@@ -34,6 +35,19 @@ def test_width_folding_is_part_of_nfkc():
     assert all(unicodedata.normalize("NFKC", a) == b for a, b in zip(WIDE, NARROW, strict=True))
 
 
+def test_texts_folded_in_the_jvm_need_no_more():
+    """No character that keeps a text out of Python changes under NFKC, alone or after another, but for width."""
+    plain = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not re.fullmatch(NOT_PLAIN, c)]
+    table = str.maketrans(WIDE, NARROW)
+    assert len(plain) > 27_000 and all(unicodedata.normalize("NFKC", c) == c.translate(table) and not unicodedata.combining(c) for c in plain)
+    assert unicodedata.normalize("NFKC", "".join(plain)) == "".join(plain).translate(table)
+
+
+def test_whitespace_class_is_unicode_whitespace():
+    space = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), SPACE))
+    assert {c for c in map(chr, range(0x11000)) if space.fullmatch(c)} == {c for c in map(chr, range(0x11000)) if c.isspace()} - set("\x1c\x1d\x1e\x1f")
+
+
 def test_nfkc_keeps_null(spark):
     assert one(spark, None, nfkc) is None
     assert one(spark, "ｶﾞ", nfkc) == "ガ"

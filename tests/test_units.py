@@ -46,5 +46,18 @@ def test_rows_without_a_current_figure(table):
     assert found == {905: 5, 906: 5}
 
 
+def test_the_first_figure_in_the_text_holds(spark):
+    row = lambda n, v: f"| {n} | {v} | 1 |"
+    head = "| 项目 | 本期 | 上期 |\n| --- | --- | --- |\n"
+    cases = [
+        (head + row("合同负债", "1元") + "\n" + row("营业收入", "5元") + "\n此后营业收入7元", 5),
+        (head + row("营业收入", "5元") + "\n此后营业收入7元", 5),
+        ("先是营业收入7元\n" + head + row("营业收入", "5元"), 7),
+        ("合同负债1元，营业收入7元\n" + head + row("营业收入", "5元"), 7),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(9, "营收 6元"), (9, "营收 5元")], "idx bigint, text string")
+    assert {r["idx"]: r["value"] for r in figures(df).where("measure = 'revenue'").collect()} == {**{i: v for i, (_, v) in enumerate(cases)}, 9: 5}
+
+
 def test_empty_table(spark):
     assert rows(figures(spark.createDataFrame([], "idx bigint, text string"))) == []
