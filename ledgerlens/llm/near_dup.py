@@ -50,10 +50,12 @@ def shingles(text: str, width: int, unit: str) -> np.ndarray:
     if not len(codes):
         return codes
     n = max(1, len(codes) - width + 1)
-    h = np.full(n, len(codes) if len(codes) < width else width, dtype=np.uint64)
+    h = np.full(n, min(len(codes), width), dtype=np.uint64)
+    factor = 1
     for k in range(min(width, len(codes))):
-        h = _mix((h + codes[k : k + n]) * _M1)
-    return np.unique(h)
+        factor = factor * int(_M1) & 0xFFFFFFFFFFFFFFFF
+        h += codes[k : k + n] * np.uint64(factor)
+    return np.unique(_mix(h))
 
 
 def hash_words(word: str) -> int:
@@ -65,9 +67,14 @@ def hash_words(word: str) -> int:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
-    """The minwise values of a shingle set under SKETCH hash functions."""
-    a, b = _COEFFICIENTS
-    return ((hashes >> np.uint64(32)).astype(np.uint32)[:, None] * (a | np.uint32(1)) + b).min(axis=0)
+    """The minwise values of a shingle set under SKETCH hash functions; a long text's shingles are taken part by part."""
+    a, b = (_COEFFICIENTS[0] | np.uint32(1))[:, None], _COEFFICIENTS[1][:, None]
+    short, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(SKETCH, 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(short), 4096):
+        under = a * short[None, at : at + 4096]
+        under += b
+        np.minimum(least, under.min(axis=1), out=least)
+    return least
 
 
 @dataclass(frozen=True)
