@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import squeeze
 from ledgerlens.runtime import HOT_ROWS, broadcast_if_small, cut_lineage, repeated, salted, spread_join
 
 #: Minwise tokens per record on which paths branch, and minwise bits of its sketch.
@@ -102,15 +103,26 @@ def plan(threshold: float, recall: float = RECALL) -> Plan:
     return Plan(branch, trees, math.floor(apart))
 
 
+def compared(text: str, unit: str) -> str:
+    """The form in which a text is compared: without whitespace for characters, with single spaces and in lower case for words."""
+    return "".join(text.split()) if unit == "char" else " ".join(text.lower().split())
+
+
+def text_hash(text: str) -> tuple[int, int]:
+    """A 128-bit hash as two numbers."""
+    return struct.unpack("<qq", hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+
+
 def _signatures(batch: pd.DataFrame, width: int, unit: str) -> pd.DataFrame:
     out = []
-    for i, h1, h2, text in zip(batch["id"], batch["h1"], batch["h2"], batch["text"], strict=True):
+    for i, raw in zip(batch["id"], batch["text"], strict=True):
+        text = compared(raw, unit)
         h = shingles(text, width, unit)
         if not len(h):
             continue
         m = minwise(h)
         bits = np.packbits((m >> np.uint32(9)) & np.uint32(1)).view(np.int64)
-        out.append((i, h1, h2, int(bits[0]), int(bits[1]), m[:TOKENS].tobytes()))
+        out.append((i, *text_hash(text), int(bits[0]), int(bits[1]), m[:TOKENS].tobytes()))
     return pd.DataFrame(out, columns=["id", "h1", "h2", "s1", "s2", "tokens"])
 
 
@@ -283,11 +295,8 @@ def _depth(signatures: DataFrame, records: int, limit: int) -> int:
     return max(1, math.ceil(math.log(max(1.0, records / limit)) / -math.log(chance)))
 
 
-def _compared(df: DataFrame, record: str, text: str, unit: str) -> DataFrame:
-    """``id``, the compared ``text`` and its 128-bit hash ``h1``, ``h2``."""
-    plain = squeeze(F.col(text)) if unit == "char" else F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-    rows = df.select(F.col(record).cast("long").alias("id"), plain.alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
-    return rows.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+def _texts(df: DataFrame, record: str, text: str) -> DataFrame:
+    return df.select(F.col(record).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
 
 
 class NearDuplicates:
@@ -316,6 +325,7 @@ class NearDuplicates:
         self._links: DataFrame | None = None
         self._members: DataFrame | None = None
         self._classes: DataFrame | None = None
+        self._signed: DataFrame | None = None
         self._hot: DataFrame | None = None
 
     def classes(self) -> DataFrame:
@@ -328,8 +338,9 @@ class NearDuplicates:
                     for part in range(0, len(batch), 1000):
                         yield _signatures(batch.iloc[part : part + 1000], width, unit)
 
-            signed = _compared(self.df, self.record, self.text, unit).select("id", "h1", "h2", "text").mapInPandas(sign, "id long, h1 long, h2 long, s1 long, s2 long, tokens binary")
-            own = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
+            rows = _texts(self.df, self.record, self.text)
+            self._signed = cut_lineage(rows.mapInPandas(sign, "id long, h1 long, h2 long, s1 long, s2 long, tokens binary"))
+            own = self._signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
             self._classes = cut_lineage(own.withColumn("key", F.monotonically_increasing_id()))
             hot = self._classes.where(F.col("rows") > self.hot_rows).select("h1", "h2", "key", F.ceil(F.col("rows") / F.lit(self.hot_rows)).cast("int").alias("__parts"))
             many = hot.count()
@@ -349,7 +360,7 @@ class NearDuplicates:
         """``id``, ``key`` and ``rep``: the class of each record, or the classes where a record has several texts, and the class's lowest id."""
         if self._members is None:
             known, hot = self.classes().select("h1", "h2", "key", "rep"), self._hot_by("h1", "h2")
-            own = salted(_compared(self.df, self.record, self.text, self.unit).select("id", "h1", "h2"), hot, ["h1", "h2"], "id")
+            own = salted(self._signed.select("id", "h1", "h2"), hot, ["h1", "h2"], "id")
             self._members = cut_lineage(own.join(repeated(known, hot, ["h1", "h2"]), ["h1", "h2", "__salt"]).select("id", "key", "rep").distinct())
         return self._members
 
@@ -381,6 +392,18 @@ class NearDuplicates:
             every = every.union(more)
         return every.distinct()
 
+    def _named(self, ids: DataFrame) -> DataFrame:
+        """``id``, ``h1``, ``h2`` and the compared ``text`` of the rows whose id is in ``ids``."""
+        unit = self.unit
+
+        def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts = [compared(t, unit) for t in batch["text"]]
+                yield pd.DataFrame([(i, *text_hash(t), t) for i, t in zip(batch["id"], texts, strict=True)], columns=["id", "h1", "h2", "text"])
+
+        rows = _texts(self.df, self.record, self.text).join(ids, "id", "left_semi")
+        return rows.mapInPandas(name, "id long, h1 long, h2 long, text string")
+
     def links(self) -> DataFrame:
         """Verified pairs of classes: keys ``a`` < ``b`` and their exact ``similarity``, at least the threshold."""
         if self._links is None:
@@ -388,7 +411,7 @@ class NearDuplicates:
             n = pairs.count()
             involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
             wanted = self.classes().select("key", "h1", "h2", F.col("rep").alias("id")).join(broadcast_if_small(involved, 2 * n), "key", "left_semi")
-            texts = _compared(self.df, self.record, self.text, self.unit).join(broadcast_if_small(wanted, 2 * n), ["id", "h1", "h2"])
+            texts = self._named(broadcast_if_small(wanted.select("id").distinct(), 2 * n)).join(broadcast_if_small(wanted, 2 * n), ["id", "h1", "h2"])
             texts = texts.groupBy("key").agg(F.first("text").alias("text"))
             both = pairs
             for side, other in ("a", "b"), ("b", "a"):
