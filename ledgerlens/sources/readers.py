@@ -70,6 +70,125 @@ def html_text(content: bytes) -> list[str]:
     return ["\n".join(x for x in lines if x)]
 
 
+class _Layout(_Text):
+    """The text and the tables of a page, in order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.items: list[tuple[str, object]] = []
+        self.rows: list[list[str]] | None = None
+        self.cell: list[str] | None = None
+
+    def flush(self) -> None:
+        lines = (" ".join(x.split()) for x in "".join(self.out).split("\n"))
+        text = "\n".join(x for x in lines if x)
+        if text:
+            self.items.append(("text", text))
+        self.out = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table" and self.rows is None:
+            self.flush()
+            self.rows = []
+        elif self.rows is None:
+            super().handle_starttag(tag, attrs)
+        elif tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th"):
+            self.cell = []
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.rows is None:
+            super().handle_endtag(tag)
+        elif tag in ("td", "th") and self.cell is not None:
+            self.rows = self.rows or [[]]
+            self.rows[-1].append("".join(self.cell))
+            self.cell = None
+        elif tag == "table":
+            self.items.append(("table", self.rows))
+            self.rows = self.cell = None
+
+    def handle_data(self, data: str) -> None:
+        if self.rows is None:
+            super().handle_data(data)
+        elif self.cell is not None:
+            self.cell.append(data)
+
+
+#: What a layout parser gives for each page: blocks (x0, y0, x1, y1, kind, text) and tables (x0, y0, x1, y1, rows of cells).
+PageLayout = tuple[list[tuple], list[tuple]]
+
+
+def html_layout(content: bytes) -> list[PageLayout]:
+    """One page from HTML bytes: text and tables one under the other, ten points apart."""
+    parser = _Layout()
+    parser.feed(content.decode("utf-8", "replace"))
+    parser.flush()
+    placed = [(0.0, 10.0 * k, 1.0, 10.0 * k + 1, kind, held) for k, (kind, held) in enumerate(parser.items)]
+    return [([x for x in placed if x[4] == "text"], [(*x[:4], x[5]) for x in placed if x[4] == "table"])]
+
+
+def pdf_layout(content: bytes) -> list[PageLayout]:
+    """Pages of a PDF with the tables that are found on them, where a PDF library is installed."""
+    try:
+        import fitz
+    except ImportError as missing:
+        raise RuntimeError("no PDF library is installed") from missing
+    with fitz.open(stream=content, filetype="pdf") as pdf:
+        return [([(*b[:4], "text" if b[6] == 0 else "image", b[4]) for b in page.get_text("blocks")], [(*t.bbox, t.extract()) for t in page.find_tables().tables]) for page in pdf]
+
+
+LAYOUTS: dict[str, Callable[[bytes], list[PageLayout]]] = {"html": html_layout, "htm": html_layout, "pdf": pdf_layout}
+
+
+def scan_layout(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], list[PageLayout]]] | None = None) -> DataFrame:
+    """The layout of all files under ``path``, for layout.parsed_pages(): ``key`` (the file), ``page``, ``item`` (page, block or table), ``seq``, the box, ``kind``, ``text``, ``rows``, ``error``.
+
+    Every page is one row, so that empty ones are known. A file that can't be parsed is one row with its reason.
+    """
+    known = parsers or LAYOUTS
+    names = ["key", "page", "item", "seq", "x0", "y0", "x1", "y1", "kind", "text", "rows", "error"]
+    box = [None] * 4
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    own: list[tuple] = []
+                    for page, (blocks, tables) in enumerate(known[name.rpartition(".")[2].lower()](content), 1):
+                        own.append((name, page, "page", 0, *box, None, None, None, None))
+                        own += [(name, page, "block", k, *map(float, b[:4]), b[4], b[5], None, None) for k, b in enumerate(blocks)]
+                        own += [(name, page, "table", k, *map(float, t[:4]), None, None, t[4], None) for k, t in enumerate(tables)]
+                    out += own
+                except Exception as why:  # noqa: BLE001
+                    out.append((name, None, None, None, *box, None, None, None, f"{type(why).__name__}: {why}"))
+            yield pd.DataFrame(out, columns=names).astype({"page": "Int32", "seq": "Int32", **dict.fromkeys(names[4:8], "float64")})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(parse, "key string, page int, item string, seq int, x0 double, y0 double, x1 double, y1 double, kind string, text string, rows array<array<string>>, error string")
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """People's verdicts from JSON files that hold them under ``questions``: ``id``, ``expected``, ``answer``, ``verdict``, ``analysis``."""
+    one = "struct<id: string, expected: string, answer: string, verdict: string, analysis: string>"
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", f"struct<questions: array<{one}>>").getField("questions")).alias("q")).select("q.*")
+
+
+def read_announcements(spark: SparkSession, path: str) -> DataFrame:
+    """Announcements from recorded answers of a paged search, one JSON file per page with ``pageNum``, ``hasMore`` and ``announcements``.
+
+    Pages count up to the first that has no more after it; a page without announcements adds none. Result: ``page``, ``code``,
+    ``title``, ``url`` and ``announced`` (milliseconds).
+    """
+    one = "struct<secCode: string, announcementTitle: string, adjunctUrl: string, announcementTime: bigint>"
+    pages = spark.read.schema(f"pageNum int, hasMore boolean, announcements array<{one}>").json(path, multiLine=True)
+    last = pages.where(~F.coalesce("hasMore", F.lit(False))).agg(F.min("pageNum")).first()[0]
+    kept = pages if last is None else pages.where(F.col("pageNum") <= last)
+    return kept.select(F.col("pageNum").alias("page"), F.explode("announcements").alias("a")).select("page", F.col("a.secCode").alias("code"), F.col("a.announcementTitle").alias("title"), F.col("a.adjunctUrl").alias("url"), F.col("a.announcementTime").alias("announced"))
+
+
 def plain_text(content: bytes) -> list[str]:
     """Pages of plain text, divided by form feeds."""
     return content.decode("utf-8", "replace").split("\f")

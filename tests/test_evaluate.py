@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import evaluate, index
+from ledgerlens.operators import evaluate, index, layout
 from ledgerlens.operators.contain import contained
 from ledgerlens.plans import catalogue
 from ledgerlens.sources import readers, sinks
@@ -135,6 +135,31 @@ def test_scan_of_files(spark, tmp_path):
     assert got == sorted([(1, "甲\n乙 & 丙", True), (1, "一", True), (2, "二", True), (None, None, False)], key=repr)
 
 
+def test_scanned_layout_to_pages(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>前言</p><table><tr><th>项目</th><th>本期</th></tr><tr><td>收入 </td><td>5</td></tr></table><p>后<br>记</p><table><tr><td>单行</td></tr></table>")
+    (tmp_path / "b.htm").write_text("<p> </p>")
+    (tmp_path / "c.pdf").write_bytes(b"none")
+    items = readers.scan_layout(spark, str(tmp_path))
+    pages = {r["key"][-6:]: r["text"] for r in layout.parsed_pages(items).collect()}
+    assert pages == {"a.html": "前言\n\n[表格开始]\n| 项目 | 本期 |\n| --- | --- |\n| 收入 | 5 |\n[表格结束]\n\n后\n记", "/b.htm": ""}
+    assert rows(layout.parsed_tables(items).select("index", "rows", "cols")) == [(0, 2, 2)]
+    assert items.where("error is not null").count() == 1
+    boxed = lambda content: [([(0, 0, 4, 4, "text", "in the table"), (0, 20, 4, 24, "text", " below "), (0, 30, 4, 34, "image", "x")], [(0, 0, 5, 5, [["a", None], ["b", "c"]])])]
+    own = readers.scan_layout(spark, str(tmp_path / "c.pdf"), {"pdf": boxed})
+    assert [r["text"] for r in layout.parsed_pages(own).collect()] == ["\n[表格开始]\n| a |  |\n| --- | --- |\n| b | c |\n[表格结束]\n\nbelow"]
+
+
+def test_annotations_and_announcements_of_files(spark, tmp_path):
+    (tmp_path / "notes.json").write_text('{"questions": [{"id": "Q1", "verdict": "正确", "more": 1}, {"id": "Q2"}]}')
+    assert rows(readers.read_annotations(spark, str(tmp_path / "notes.json")).select("id", "verdict")) == [("Q1", "正确"), ("Q2", None)]
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    for page, more, titles in ((1, "true", ["a", "b"]), (2, "false", ["c"]), (3, "true", ["late"])):
+        told = ", ".join(f'{{"secCode": "000001", "announcementTitle": "{t}", "announcementTime": 5}}' for t in titles)
+        (folder / f"{page}.json").write_text(f'{{"pageNum": {page}, "hasMore": {more}, "announcements": [{told}]}}')
+    assert rows(readers.read_announcements(spark, str(folder)).select("page", "title")) == [(1, "a"), (1, "b"), (2, "c")]
+
+
 def test_markdown_report(spark):
     report = sinks.markdown_report("T", {"x": spark.createDataFrame([(2, None), (1, "a|b")], "n int, s string")})
     assert report == "# T\n\n## x\n\n| n | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 | — |\n"

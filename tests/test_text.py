@@ -2,10 +2,13 @@ import json
 import re
 import unicodedata
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.encoder import embedder
 from ledgerlens.functions.text import NARROW, NOT_PLAIN, SPACE, WIDE, fold_width, nfkc, squeeze, terms, tidy
 from ledgerlens.functions.wordpiece import encode, pieces, words
 
@@ -77,3 +80,50 @@ def test_wordpiece():
 def test_wordpiece_never_fails(text):
     assert len(encode(text, VOCABULARY)) >= 2
     json.dumps(words(text))
+
+
+# The strings on which two tokenizers are compared.
+PARITY = [
+    "贵州茅台2025年营业收入是多少？",
+    "2025年年度报告中，五粮液的毛利率为 77.05%，同比+0.5pct。",
+    "山西汾酒(600809) 省外市场收入 3,412,345,678.90 元",
+    "泸州老窖 2026 上半年归母净利润同比 -12.3%",
+    "合同负债/存货 turnover   ratio",
+    "ROE、EPS、分红率：每股派息27.993元（含税）",
+    "公司简称：贵州茅台；股票代码：600519。",
+    "（一）主要经营情况【重大事项】《提示公告》",
+    "ａｂｃ　全角空格　ＡＢＣ１２３",
+    "茅台+五粮液=？ 100%＆*（",
+    "A股  B股；H股",
+    "",
+    "   ",
+    "毛利率\t营业收入\n净利润",
+    "3.14159, 1,234,567.89, -0.5%, +15%",
+    "洋河股份的\"合同负债\"是？",
+    "①②③ Ⅰ Ⅱ Ⅲ 一、二、三",
+    "2026年半年度报告（未经审计）",
+    "www.cninfo.com.cn 巨潮资讯",
+    "白酒行业: 茅台 / 五粮液 / 泸州老窖 / 山西汾酒 / 洋河股份",
+]
+
+
+def test_wordpiece_agrees_with_a_public_tokenizer():
+    """Token by token on the parity strings, with a vocabulary of some of their characters and pieces."""
+    tokenizers = pytest.importorskip("tokenizers")
+    letters = sorted({c for t in PARITY for c in t if not c.isspace()} - set("窖Ⅲ＆"))
+    known = ["[UNK]", "[CLS]", "[SEP]", *letters, *(f"##{c}" for c in letters if c.isalnum()), "turn", "##over", "20", "##25", "##26", "cn", "##info"]
+    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(known))}
+    other = tokenizers.Tokenizer(tokenizers.models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=100))
+    other.normalizer = tokenizers.normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True, strip_accents=False, lowercase=False)
+    other.pre_tokenizer = tokenizers.pre_tokenizers.BertPreTokenizer()
+    for text in PARITY:
+        assert encode(text, vocabulary) == [1, *other.encode(text).ids, 2], text
+
+
+def test_embedded_texts_have_length_one(spark):
+    def make():
+        return lambda texts: np.array([[len(t), t.count("酒"), 0.0] for t in texts])
+
+    df = spark.createDataFrame([(1, "酒酒酒"), (2, ""), (3, None), (4, "白")], "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", embedder(make, 2)(F.col("t")).alias("v")).collect()}
+    assert got[1] == pytest.approx([0.5**0.5, 0.5**0.5, 0]) and got[2] == got[3] == [0, 0, 0] and got[4] == [1, 0, 0]
