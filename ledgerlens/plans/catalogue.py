@@ -299,13 +299,14 @@ def entity_growth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "chunks").where("idx is not null").select("idx", "text").distinct()
+    """Texts with their repeats, which those who parse them drop from the results: no text is shuffled for it."""
+    return read_table(spark, d, "chunks").where("idx is not null").select("idx", "text")
 
 
 @query
 def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.table_rows(_texts(spark, d), "idx", "text")
-    return rows.select("idx", "table_no", "row_no", F.array_join("cells", "¦").alias("cells"))
+    return rows.select("idx", "table_no", "row_no", F.array_join("cells", "¦").alias("cells")).distinct()
 
 
 @query
@@ -373,7 +374,7 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def table_html(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("idx", answers.table_html(F.col("text")).alias("html")).where("html is not null")
+    return _texts(spark, d).select("idx", answers.table_html(F.col("text")).alias("html")).where("html is not null").distinct()
 
 
 @query
@@ -562,7 +563,7 @@ def page_digests(spark: SparkSession, d: str) -> DataFrame:
 @query
 def table_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Every table of the chunks written as Markdown again."""
-    rows = tables.table_rows(_texts(spark, d), "idx", "text")
+    rows = tables.table_rows(_texts(spark, d), "idx", "text").distinct()
     held = rows.groupBy("idx", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
     return held.select("idx", "table_no", tables.to_markdown(F.transform("r", lambda x: x["cells"])).alias("markdown")).where("markdown is not null")
 
