@@ -420,8 +420,18 @@ class NearDuplicates:
             width, unit, threshold = self.width, self.unit, self.threshold
 
             def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                # Pairs come in the order of one side, so the sets of the last few texts are used again.
+                sets: dict[int, set] = {}
+
+                def shingled(key: int, text: str) -> set:
+                    if key not in sets:
+                        if len(sets) >= 64:
+                            sets.clear()
+                        sets[key] = shingle_set(text, width, unit)
+                    return sets[key]
+
                 for batch in batches:
-                    out = [(a, b, jaccard(x, y, width, unit)) for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
+                    out = [(a, b, similarity(shingled(a, x), shingled(b, y))) for a, b, x, y in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True)]
                     yield pd.DataFrame([r for r in out if r[2] >= threshold], columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
             self._links = cut_lineage(both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long, similarity double"))
@@ -454,10 +464,10 @@ class NearDuplicates:
         return self._of_members(known).groupBy("id").agg(F.min("rep").alias("rep"), F.min("group").alias("group"), F.sum("links").alias("links"))
 
 
-def jaccard(a: str, b: str, width: int, unit: str) -> float:
-    """Exact similarity of two compared texts: shared over all different shingles, as strings."""
-    x, y = shingle_set(a, width, unit), shingle_set(b, width, unit)
-    return len(x & y) / len(x | y) if x or y else 0.0
+def similarity(x: set, y: set) -> float:
+    """Exact similarity of two shingle sets: shared over all different shingles."""
+    shared = len(x & y)
+    return shared / (len(x) + len(y) - shared) if x or y else 0.0
 
 
 def shingle_set(text: str, width: int, unit: str) -> set:
