@@ -13,7 +13,7 @@ from ledgerlens.functions.wordpiece import CLS, SEP, UNK, wordpiece
 from ledgerlens.operators import answers, cleaning, contain, evaluate, index, layout, search, tables, units
 from ledgerlens.plans import oracles
 from ledgerlens.plans.ranking import rank_all
-from ledgerlens.runtime import broadcast_if_small, cut_lineage, read_table, shared_dir
+from ledgerlens.runtime import broadcast_if_small, cut_lineage, read_table, remove, shared_dir
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -145,10 +145,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
-    """The same search through an index written to and read from the shared folder."""
+    """The same search through an index written to and read from the shared folder, which goes once the asked postings have been read."""
     path = f"{shared_dir(spark)}/index-{uuid4().hex}"
     index.write_index(_tokens(spark, d), path)
-    return search.top_k(search.bm25_stored(spark, path, _wanted(spark, d)), "id", "bm25", "idx", 10)
+    scores = search.bm25_stored(spark, path, _wanted(spark, d))
+    remove(spark, path)
+    return search.top_k(scores, "id", "bm25", "idx", 10)
 
 
 def _meta_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -361,6 +361,11 @@ FROM (SELECT * FROM side WHERE metric = 'revenue') r FULL JOIN (SELECT * FROM si
         "report_chunks": _CHUNKED,
         "highlight": _MARKED,
         "extractive_answer": _ANSWERS,
+        # Token numbers: start, end, unknown, then characters from U+4E00, digits, digits inside a number, marks.
+        "wordpiece_ids": f"""WITH w AS (SELECT DISTINCT id, regexp_extract_all(question, '[{_HAN}\\x{{F900}}-\\x{{FAFF}}]|[\\p{{P}}$+<=>^`|~]|[^\\s　{_HAN}\\x{{F900}}-\\x{{FAFF}}\\p{{P}}$+<=>^`|~]+') AS w FROM questions WHERE id IS NOT NULL),
+n AS (SELECT id, flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[\\x{{4E00}}-\\x{{9FFF}}]') THEN [3 + ord(x) - 19968] WHEN length(x) = 1 AND instr('，。？：、', x) > 0 THEN [21014 + instr('，。？：、', x)]
+  WHEN regexp_full_match(x, '[0-9]+') THEN list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i = 1 THEN 20995 ELSE 21005 END + CAST(substr(x, i, 1) AS INTEGER)) ELSE [2] END)) AS n FROM w)
+SELECT id, array_to_string(list_transform(list_concat([0], n[1:510], [1]), lambda x: CAST(x AS VARCHAR)), ' ') AS ids FROM n""",
         "question_facts": f"WITH {_FACTS} SELECT id, f.n AS fact_no, unnest(f.any_of) AS pattern FROM facts",
         "gold_results": f"WITH {_HELD} SELECT r.id, r.rank, r.idx, fits AND coalesce((SELECT bool_or(len(list_filter(f.f.any_of, lambda p: contains(plain, p))) > 0) FROM facts f WHERE f.id = r.id), false) AS gold FROM results r",
         "fact_hits": f"WITH {_HITS} SELECT * FROM hits",

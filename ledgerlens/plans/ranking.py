@@ -49,8 +49,8 @@ def running_total(df: DataFrame, order: list[Column], value: str, name: str) ->
     return placed.withColumn("__local", local).join(parts, "__task").withColumn(name, F.col("__before") + F.col("__local")).drop("__at", "__task", "__local", "__before")
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, spread_by: str, shares: list[float]) -> DataFrame:
-    """``keys``, ``share_no`` and ``value``: of each group the value at rank max(1, ceil(share * n)), for every share.
+def group_quantiles(df: DataFrame, keys: list[str], value: str, spread_by: str, shares: list[float], from_top: tuple[int, ...] = ()) -> DataFrame:
+    """``keys``, ``share_no`` and ``value``: of each group the value at rank max(1, ceil(share * n)), for every share, and then the k-th highest (the lowest, if there are fewer), for every k of ``from_top``.
 
     Exact at any size: the rows are sorted by range once, so a large group, or a large run of equal values, spans many
     tasks (``spread_by`` breaks ties between values); counts per task tell which row of which task is wanted.
@@ -60,8 +60,8 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, spread_by: str,
     own = W.partitionBy(*keys)
     before = F.coalesce(F.sum("__n").over(own.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("__before", before).withColumn("__total", F.sum("__n").over(own))
-    share = F.explode(F.array(*(F.struct(F.lit(k).alias("no"), F.lit(float(s)).alias("share")) for k, s in enumerate(shares)))).alias("s")
-    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("s.share") * F.col("__total")).cast("long"))
-    wanted = parts.select("__first", "__n", "__before", "__total", share).withColumn("__rank", rank).where("__rank > __before and __rank <= __before + __n")
+    places = [F.ceil(F.lit(float(s)) * F.col("__total")).cast("long") for s in shares] + [F.col("__total") - (k - 1) for k in from_top]
+    share = F.explode(F.array(*(F.struct(F.lit(no).alias("no"), F.greatest(F.lit(1).cast("long"), p).alias("rank")) for no, p in enumerate(places)))).alias("s")
+    wanted = parts.select("__first", "__n", "__before", "__total", share).withColumn("__rank", F.col("s.rank")).where("__rank > __before and __rank <= __before + __n")
     wanted = cut_lineage(wanted.select(F.col("s.no").alias("share_no"), (F.col("__first") + F.col("__rank") - F.col("__before") - 1).alias("__at")))
     return placed.join(broadcast_if_small(wanted, wanted.count()), "__at").select(*keys, "share_no", value)

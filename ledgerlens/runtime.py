@@ -58,6 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; later reads survive the loss of executors."""
     shared_dir(df.sparkSession)

@@ -28,6 +28,21 @@ def test_queries_equal_their_statements(spark, name):
     assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    """Without the setting a folder of the machine is taken in one JVM only."""
+    from types import SimpleNamespace
+
+    from ledgerlens import runtime
+
+    taken = []
+    none = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    session = lambda master, conf: SimpleNamespace(sparkContext=SimpleNamespace(_jsc=none, master=master, setCheckpointDir=taken.append), conf=SimpleNamespace(get=lambda k, d: conf))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(session("spark://host:7077", None))
+    runtime.shared_dir(session("local[4]", None))
+    assert runtime.shared_dir(session("yarn", "hdfs://x/y")) == "hdfs://x/y" == taken[-1] and len(taken) == 2
+
+
 def test_no_query_compares_everything_with_everything(spark):
     """Plans of the joins by containment and filter hold no nested loops or cartesian products."""
     for name in ("gold_containment", "filter_detect", "filter_fallback", "missing_companies", "bm25_filtered"):
