@@ -171,6 +171,12 @@ def oracle_sql() -> dict[str, str]:
 
     grams = "unnest(list_transform(range(1, greatest(length(t) - 38, 1)), lambda i: substr(t, i, 40)))"
     placed = "generate_subscripts({0}, 1) AS p, unnest({0}) AS g".format("list_transform(range(1, greatest(length(t) - 38, 1)), lambda i: substr(t, i, 40))")
+    # Shared spans, from place a up to b in the compared text: runs of neighbouring stretches at the same distance in both texts.
+    spans = f"""d AS (SELECT DISTINCT doc_id, text, {plain('text')} AS t, hash(text) AS h FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items),
+x AS (SELECT doc_id, h, {placed} FROM d WHERE length(t) >= 40), y AS (SELECT item_id, hash(t) AS k, {placed} FROM e WHERE length(t) >= 40),
+m AS (SELECT doc_id, h, item_id, k, x.p - y.p AS apart, x.p FROM x JOIN y USING (g)),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, h, item_id, k, apart ORDER BY p) AS run FROM m),
+spans AS (SELECT doc_id, h, item_id, min(p) AS a, max(p) + 40 AS b FROM runs GROUP BY doc_id, h, item_id, k, apart, run)"""
     # The passages, their different five-character stretches, and the shared ones of every pair that has any.
     near = """t AS (SELECT DISTINCT idx, regexp_replace(text, '[\\s　]+', '', 'g') AS t FROM chunks WHERE type = 'text' AND idx IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT idx, unnest(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) AS g FROM t WHERE t <> ''),
@@ -199,11 +205,17 @@ SELECT key, page, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10))
         "p7_found": _terms_sql("SELECT field, term, mark FROM marked WHERE mark IS NOT NULL"),
         "p7_counts": _terms_sql("SELECT * FROM marked"),
         "p8_found": f"WITH d AS (SELECT DISTINCT doc_id, {plain('text')} AS t FROM documents WHERE text IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items), x AS (SELECT doc_id, {grams} AS g FROM d WHERE length(t) >= 40), y AS (SELECT DISTINCT item_id, {grams} AS g FROM e WHERE length(t) >= 40) SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)",
-        # A shared span is a run of neighbouring stretches at the same distance in both texts.
-        "p8_report": f"""WITH d AS (SELECT DISTINCT doc_id, {plain('text')} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), e AS (SELECT DISTINCT item_id, {plain('expected')} AS t FROM eval_items),
-x AS (SELECT doc_id, hash(t) AS h, {placed} FROM d WHERE length(t) >= 40), y AS (SELECT item_id, hash(t) AS k, {placed} FROM e WHERE length(t) >= 40),
-m AS (SELECT doc_id, h, item_id, k, x.p - y.p AS apart, x.p FROM x JOIN y USING (g)),
-runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, h, item_id, k, apart ORDER BY p) AS run FROM m),
-spans AS (SELECT doc_id, item_id, count(*) + 39 AS chars FROM runs GROUP BY doc_id, h, item_id, k, apart, run)
-SELECT item_id, count(DISTINCT doc_id) AS docs, max(chars) AS longest FROM spans GROUP BY item_id""",
+        "p8_report": f"WITH {spans} SELECT item_id, count(DISTINCT doc_id) AS docs, max(b - a) AS longest FROM spans GROUP BY item_id",
+        # Spans that touch are one; they go from the place of their first letter or digit in the text to that of their last.
+        "p8_scrub": f"""WITH {spans},
+before AS (SELECT *, max(b) OVER (PARTITION BY doc_id, h ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM (SELECT DISTINCT doc_id, h, a, b FROM spans)),
+numbered AS (SELECT *, count(*) FILTER (done IS NULL OR a > done) OVER (PARTITION BY doc_id, h ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM before),
+merged AS (SELECT doc_id, h, min(a) AS a, max(b) AS b FROM numbered GROUP BY doc_id, h, run),
+share AS (SELECT doc_id, h, sum(b - a) AS n FROM merged GROUP BY doc_id, h),
+held AS (SELECT d.doc_id, d.h, d.text, s.n > 0.5 * length(d.t) AS dropped FROM d JOIN share s ON s.doc_id = d.doc_id AND s.h = d.h),
+chars AS (SELECT doc_id, h, generate_subscripts(c, 1) AS i, unnest(c) AS c FROM (SELECT doc_id, h, string_split(text, '') AS c FROM held WHERE NOT dropped)),
+counted AS (SELECT *, regexp_matches({_folded("c")}, '[\\p{{L}}\\p{{N}}]') AS counts, count(*) FILTER (regexp_matches({_folded("c")}, '[\\p{{L}}\\p{{N}}]')) OVER (PARTITION BY doc_id, h ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM chars),
+gone AS (SELECT m.doc_id, m.h, f.i AS x, l.i AS y FROM merged m JOIN counted f ON f.doc_id = m.doc_id AND f.h = m.h AND f.counts AND f.r = m.a JOIN counted l ON l.doc_id = m.doc_id AND l.h = m.h AND l.counts AND l.r = m.b - 1),
+kept AS (SELECT doc_id, h, string_agg(c, '' ORDER BY i) AS text FROM counted k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = k.doc_id AND g.h = k.h AND k.i BETWEEN g.x AND g.y) GROUP BY doc_id, h)
+SELECT e.doc_id, CASE WHEN NOT dropped THEN coalesce(k.text, '') END AS text, length(e.text) - CASE WHEN dropped THEN 0 ELSE length(coalesce(k.text, '')) END AS removed_chars, dropped FROM held e LEFT JOIN kept k ON k.doc_id = e.doc_id AND k.h = e.h""",
     }
