@@ -14,9 +14,11 @@ from ledgerlens.runtime import HOT_ROWS, cut_lineage, hot_keys, repeated, salted
 TAIL = 0.02
 
 
-def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL, hot_rows: int = HOT_ROWS) -> DataFrame:
+def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL, hot_rows: int = HOT_ROWS, top: int | None = None) -> DataFrame:
     """Relative closeness of each item to its group's ideal point: ``group``, ``item``, the scores, ``closeness``.
 
+    With ``top``, also the group's ``top``-th best value of each score as ``__top_<score>``, from the sort that finds the limits.
+
     Within a group each score is winsorised at its values of rank ceil(tail * n) and ceil((1 - tail) * n), exact for
     groups of any size, and divided by the Euclidean norm of the group's winsorised values, after a shift that puts
     the group's lowest value at zero, so that neither range nor sign of a scale matters. The ideal point has the best
@@ -41,16 +43,18 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     items = cut_lineage(spread.groupBy(group, "__salt", item).agg(*(F.max(s).alias(s) for s in scores)))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col(s).alias("value")) for k, s in enumerate(scores)))).alias("x")
     long = items.select(group, item, each).select(group, item, "x.which", "x.value").where("value is not null")
-    found = group_quantiles(long, [group, "which"], "value", item, [tail, 1 - tail])
+    ends = ["lo", "hi", *(["top"] if top else [])]
+    found = group_quantiles(long, [group, "which"], "value", item, [tail, 1 - tail], (top,) if top else ())
     at = lambda k, end: F.max(F.when((F.col("which") == k) & (F.col("share_no") == end), F.col("value")))
-    limits = found.groupBy(group).agg(*(at(k, end).alias(f"__{name}_{s}") for k, s in enumerate(scores) for end, name in enumerate(("lo", "hi"))))
+    limits = found.groupBy(group).agg(*(at(k, end).alias(f"__{name}_{s}") for k, s in enumerate(scores) for end, name in enumerate(ends)))
     cut = items.join(repeated(limits, hot, [group]), [group, "__salt"], "left")
 
     def winsorised(s: str) -> Column:
         low, high = F.col(f"__lo_{s}"), F.col(f"__hi_{s}")
         return F.coalesce(F.least(F.greatest(F.col(s), low), high) - low, F.lit(0.0))
 
-    cut = cut.select(group, "__salt", item, *scores, *(winsorised(s).alias(f"__w_{s}") for s in scores))
+    tops = [f"__top_{s}" for s in scores] if top else []
+    cut = cut.select(group, "__salt", item, *scores, *tops, *(winsorised(s).alias(f"__w_{s}") for s in scores))
     norms = cut.groupBy(group).agg(*(F.sqrt(F.sum(F.col(f"__w_{s}") * F.col(f"__w_{s}"))).alias(f"__n_{s}") for s in scores), *(F.max(f"__w_{s}").alias(f"__m_{s}") for s in scores))
     both = cut.join(repeated(norms, hot, [group]), [group, "__salt"])
 
@@ -62,7 +66,7 @@ def closeness(df: DataFrame, group: str, item: str, scores: list[str], weights:
     up = F.sqrt(sum((distance(s, w, True) for s, w in zip(scores, weights, strict=True)), F.lit(0.0)))
     down = F.sqrt(sum((distance(s, w, False) for s, w in zip(scores, weights, strict=True)), F.lit(0.0)))
     near = F.when(up + down > 0, down / (up + down)).otherwise(0.5)
-    return both.select(group, item, *scores, F.round(near, 9).alias("closeness"))
+    return both.select(group, item, *scores, *tops, F.round(near, 9).alias("closeness"))
 
 
 def ideal_rank(df: DataFrame, group: str, item: str, scores: list[str], weights: list[float] | None = None, tail: float = TAIL) -> DataFrame:
@@ -76,19 +80,15 @@ def leaders(df: DataFrame, group: str, item: str, scores: list[str], n: int = 3,
     Such an item is beaten in a score by at most n - 1 items, hence has at most len(scores) * (n - 1) items that
     it doesn't equal or exceed in all scores; closeness never ranks an equalled or exceeded item above it. So
     the candidates are the head of the joint ranking, len(scores) * (n - 1) + 1 places with ties, whatever the size of
-    the group; each is then checked exactly against every score's n-th best value. Head and bars come from one pass:
-    tasks cut each column of each group to its few best values before anything is exchanged.
+    the group. Each is then checked exactly against every score's n-th best value, which comes from the ranking's own sort.
+    Tasks cut each group to its head before anything is exchanged.
     """
-    near = cut_lineage(closeness(df, group, item, scores, None, tail))
-    depths = {"closeness": len(scores) * (n - 1) + 1, **dict.fromkeys(scores, n)}
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.lit(d).alias("depth"), F.col(c).alias("value")) for k, (c, d) in enumerate(depths.items())))).alias("x")
-    long = near.select(group, item, each).select(group, item, "x.*").where("value is not null")
-    place = F.row_number().over(W.partitionBy(group, "which").orderBy(F.col("value").desc()))
-    best = long.withColumn("place", place).where(F.col("place") <= max(depths.values())).where("place <= depth")
-    bars = best.groupBy(group).agg(*(F.min(F.when(F.col("which") == k, F.col("value"))).alias(f"__bar_{c}") for k, c in enumerate(depths)))
+    near = cut_lineage(closeness(df, group, item, scores, None, tail, top=n))
+    depth = len(scores) * (n - 1) + 1
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.col("closeness").desc(), F.col(item)))
+    last = near.select(group, item, "closeness").withColumn("place", place).where(F.col("place") <= depth).groupBy(group).agg(F.min("closeness").alias("__last"))
     hot = hot_keys(near, [group])
-    judged = salted(near, hot, [group], item).join(repeated(bars, hot, [group]), [group, "__salt"])
-    head = judged.where(F.col("closeness") >= F.col("__bar_closeness") - 1e-9)
+    head = salted(near, hot, [group], item).join(repeated(last, hot, [group]), [group, "__salt"]).where(F.col("closeness") >= F.col("__last") - 2e-9)
     for s in scores:
-        head = head.where(F.col(s) >= F.col(f"__bar_{s}"))
+        head = head.where(F.col(s) >= F.col(f"__top_{s}"))
     return head.select(group, item)
