@@ -140,7 +140,7 @@ def _wanted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(search.bm25_scores(_tokens(spark, d), _wanted(spark, d)), "id", "bm25", "idx", 10)
+    return search.top_k(search.bm25_scores(_tokens(spark, d), _wanted(spark, d), k=10), "id", "bm25", "idx", 10)
 
 
 @query
@@ -165,7 +165,7 @@ def _in_force(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    scores = search.bm25_scores(_meta_tokens(spark, d), _wanted(spark, d), filters=_in_force(spark, d))
+    scores = search.bm25_scores(_meta_tokens(spark, d), _wanted(spark, d), filters=_in_force(spark, d), k=10)
     return search.top_k(scores, "id", "bm25", "idx", 10)
 
 
