@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -82,3 +83,18 @@ def folded_terms(text: Column) -> Column:
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(ones, twos)).otherwise(F.array(run))
 
     return F.flatten(F.transform(runs(text), expand))
+
+
+_RUN, _HAN = re.compile(RUNS), re.compile(f"[{CJK}]")
+
+
+def terms_of(folded: str) -> list[str]:
+    """What folded_terms() gives, for Python code that needs the terms of a text where it stands."""
+    out: list[str] = []
+    for run in _RUN.findall(folded):
+        if _HAN.match(run):
+            out += run
+            out += map("".join, zip(run, run[1:], strict=False))
+        else:
+            out.append(run)
+    return out

@@ -140,7 +140,7 @@ def _wanted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(search.bm25_scores(_tokens(spark, d), _wanted(spark, d), k=10), "id", "bm25", "idx", 10)
+    return search.top_k(search.bm25_scores(index.index_text(read_table(spark, d, "chunks")), _wanted(spark, d), k=10), "id", "bm25", "idx", 10)
 
 
 @query
@@ -153,8 +153,8 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(scores, "id", "bm25", "idx", 10)
 
 
-def _meta_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return index.tokenized(read_table(spark, d, "chunks"), keep=search.META)
+def _meta_texts(spark: SparkSession, d: str) -> DataFrame:
+    return index.index_text(read_table(spark, d, "chunks"), keep=search.META)
 
 
 def _in_force(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def _in_force(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    scores = search.bm25_scores(_meta_tokens(spark, d), _wanted(spark, d), filters=_in_force(spark, d), k=10)
+    scores = search.bm25_scores(_meta_texts(spark, d), _wanted(spark, d), filters=_in_force(spark, d), k=10)
     return search.top_k(scores, "id", "bm25", "idx", 10)
 
 
@@ -184,7 +184,7 @@ def _asked(spark: SparkSession, d: str, filters: DataFrame, text: Column) -> Dat
 
 def _search(spark: SparkSession, d: str, mode: str) -> DataFrame:
     asked = _asked(spark, d, _in_force(spark, d), search.expand_query(F.col("question")))
-    found = search.hybrid_results(_meta_tokens(spark, d), _chunk_vectors(spark, d), asked, 8, mode)
+    found = search.hybrid_results(_meta_texts(spark, d), _chunk_vectors(spark, d), asked, 8, mode)
     return search.shown(found, read_table(spark, d, "chunks"), "code", "period", "section", "page_start", "type")
 
 
@@ -219,7 +219,7 @@ def _companies(spark: SparkSession, d: str) -> int:
 def search_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Every stated question taken as one about all companies: metric wording, wide search, and a search of each company without results."""
     asked = _asked(spark, d, _by_period(spark, d), search.expand_query(search.metric_query(F.col("question"))))
-    return search.grouped_results(_meta_tokens(spark, d), _chunk_vectors(spark, d), asked, 3, _companies(spark, d))
+    return search.grouped_results(_meta_texts(spark, d), _chunk_vectors(spark, d), asked, 3, _companies(spark, d))
 
 
 @query
@@ -228,7 +228,7 @@ def panorama_table(spark: SparkSession, d: str) -> DataFrame:
     periods = _by_period(spark, d).select("period", "use_code", "use_period", "use_kind").distinct()
     wordings = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(search.METRIC_WORDING[m]).alias("text")) for m in ("revenue", "profit")))).alias("m")
     asked = periods.select("*", wordings).select(F.concat_ws("|", "m.metric", F.coalesce("period", F.lit(""))).alias("id"), search.expand_query(F.col("m.text")).alias("text"), F.lit(None).cast("array<float>").alias("vector"), "use_code", "use_period", "use_kind")
-    found = search.grouped_results(_meta_tokens(spark, d), _chunk_vectors(spark, d), asked, 3, _companies(spark, d))
+    found = search.grouped_results(_meta_texts(spark, d), _chunk_vectors(spark, d), asked, 3, _companies(spark, d))
     return tables.panorama_table(found, read_table(spark, d, "chunks"))
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 import unicodedata
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.encoder import embedder
-from ledgerlens.functions.text import NARROW, NOT_PLAIN, SPACE, WIDE, fold_width, nfkc, squeeze, terms, tidy
+from ledgerlens.functions.text import NARROW, NOT_PLAIN, SPACE, WIDE, fold_width, folded_terms, nfkc, squeeze, terms, terms_of, tidy
 from ledgerlens.functions.wordpiece import encode, pieces, words
 
 
@@ -24,6 +25,13 @@ def test_terms_of_han_and_latin_runs(spark):
     assert one(spark, "①万", lambda c: terms(c, False)) == ["万"]
 
 
+def test_terms_in_python_are_those_in_the_jvm(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("营收豈㐀éab1.5%, x。\n") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "豈", "酒" * 3000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", folded_terms(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: terms_of(t) for i, t in enumerate(texts)}
+
+
 def test_terms_of_nothing(spark):
     assert one(spark, None, terms) == []
     assert one(spark, "", terms) == []
