@@ -15,6 +15,11 @@ from ledgerlens.runtime import broadcast_if_small, cut_lineage
 BLOCK_BITS = 12
 
 
+def _joined() -> Column:
+    """The non-empty ones of section, subsection and text, joined by spaces."""
+    return F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("section", "subsection", "text")))
+
+
 def index_text(df: DataFrame, normalise: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """``idx``, the columns ``keep`` and the indexed ``body`` of each different chunk: its non-empty section, subsection and text, joined by spaces and folded.
 
@@ -22,8 +27,12 @@ def index_text(df: DataFrame, normalise: bool = True, keep: tuple[str, ...] = ()
     comes first, then the rows are partitioned by idx, which serves both the removal of repeats and all later counts
     per (idx, term): those need no further shuffle.
     """
-    parts = [F.nullif(F.col(c), F.lit("")) for c in ("section", "subsection", "text")]
-    return df.where("idx is not null").select("idx", *keep, folded(F.concat_ws(" ", *parts), normalise).alias("body")).repartition("idx").distinct()
+    return df.where("idx is not null").select("idx", *keep, folded(_joined(), normalise).alias("body")).repartition("idx").distinct()
+
+
+def raw_text(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """index_text() before it is folded, as ``raw``, for those who fold and count it in one step."""
+    return df.where("idx is not null").select("idx", *keep, _joined().alias("raw")).repartition("idx").distinct()
 
 
 def tokenized(df: DataFrame, normalise: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -140,7 +140,7 @@ def _wanted(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(search.bm25_scores(index.index_text(read_table(spark, d, "chunks")), _wanted(spark, d), k=10), "id", "bm25", "idx", 10)
+    return search.top_k(search.bm25_scores(index.raw_text(read_table(spark, d, "chunks")), _wanted(spark, d), k=10), "id", "bm25", "idx", 10)
 
 
 @query
@@ -154,7 +154,7 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _meta_texts(spark: SparkSession, d: str) -> DataFrame:
-    return index.index_text(read_table(spark, d, "chunks"), keep=search.META)
+    return index.raw_text(read_table(spark, d, "chunks"), keep=search.META)
 
 
 def _in_force(spark: SparkSession, d: str) -> DataFrame:
