@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import evaluate, index, layout
+from ledgerlens.operators import evaluate, index, layout, tables
 from ledgerlens.operators.contain import contained
 from ledgerlens.plans import catalogue
 from ledgerlens.sources import readers, sinks
@@ -231,3 +231,16 @@ def test_dictionaries_round_trip(spark):
 def test_embedded_text_is_cut(spark):
     df = spark.createDataFrame([("甲", None, "", "节", "文" * 3000), (None, None, None, None, None)], "name string, period string, section string, subsection string, text string")
     assert [r[0] for r in df.select(index.embed_text(df)).collect()] == ["甲 节\n" + "文" * 1496, "\n"]
+
+
+def test_hits_of_shared_facts_without_texts(spark):
+    """Facts that all questions share are found in the chunks, not in results joined to texts."""
+    table = "单位：元\n| 主要会计数据 | 本期 | 上年同期 |\n| --- | --- | --- |\n| 营业收入 | 5,000.00 | 4,000.00 |"
+    chunks = spark.createDataFrame([(1, "营 业收入增长"), (2, table.replace("营业收入", "营业总收入")), (3, None), (4, "归母净利润"), (1, "营 业收入增长")], "idx bigint, text string")
+    results = spark.createDataFrame([("q", "a", 1, 1), ("q", "b", 1, 2), ("q", "c", 1, 3), ("q", "c", 2, 2), ("r", "a", 1, 3), ("r", "a", 2, 4)], "id string, code string, place int, idx bigint")
+    patterns = {1: ("营业收入", "营收"), 2: ("归母净利润",)}
+    facts = spark.createDataFrame([(i, n, p) for i in "qr" for n, some in patterns.items() for p in some], "id string, fact_no int, pattern string")
+    parsed = [tables.extract_metric(chunks.distinct(), "idx", "text", m).select("idx", F.lit(m).alias("metric")) for m in ("revenue", "profit")]
+    expected = rows(evaluate.company_hits(results.join(chunks.distinct(), "idx"), facts, parsed[0].unionByName(parsed[1])))
+    found = evaluate.company_hits_of(results, evaluate.chunk_facts(chunks, patterns), [1, 2])
+    assert rows(found.select("id", "fact_no", "companies_hit", "companies_total", "recalled")) == expected == [("q", 1, 2, 3, False), ("q", 2, 0, 3, False), ("r", 1, 0, 1, False), ("r", 2, 1, 1, True)]
